@@ -12,7 +12,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -21,7 +21,7 @@ def _vocabulary(name: str) -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode(_documents(spark, sf_dir), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(_documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +77,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    return packing.pack(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenstore.store_and_read(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    return tokenstore.store_and_read(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 OP2_SQL = """

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow, mix, texts
 from .words import word_hashes
@@ -52,7 +53,7 @@ def _bare(column: pa.Array) -> pa.Array:
 class Ftrl:
     """FTRL-proximal with a learning rate for each coordinate (McMahan et al., 2013) for features of value 1, and a bias."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 1.5, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias
 
@@ -69,7 +70,7 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(self.n[at]) - root) / self.alpha * w
 
 
-def fit(ends: np.ndarray, numbers: np.ndarray, labels: np.ndarray, bits: int = BITS, passes: int = 4, threshold: float = 0.3) -> dict:
+def fit(ends: np.ndarray, numbers: np.ndarray, labels: np.ndarray, bits: int = BITS, passes: int = 8, threshold: float = 0.3) -> dict:
     """Sparse weights (at, weight), the bias, and the slope and shift that put the best decision at `threshold`."""
     n = len(labels)
     if not n or labels.min() == labels.max():
@@ -122,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most: int = 12_000, bi
     return {"at": np.array(row["at"], np.int64), "weight": np.array(row["weight"]), "bias": row["bias"], "share": row["share"]}
 
 
-def score(docs: DataFrame, model: dict, bits: int = BITS, keep: bool = False) -> DataFrame:
-    """doc_id and score of every text; with keep, all columns of docs and score."""
+def score(docs: DataFrame, model: dict, bits: int = BITS, keep: str = "") -> DataFrame:
+    """doc_id and score of every text; with keep, all columns of docs and one of that name."""
     spark = docs.sparkSession
     arrow(spark)
     sent = spark.sparkContext.broadcast((np.asarray(model["at"], np.int32), np.asarray(model["weight"], np.float32), model["bias"], model["share"]))
@@ -137,8 +138,8 @@ def score(docs: DataFrame, model: dict, bits: int = BITS, keep: bool = False) ->
             sums = np.concatenate([[0.0], np.cumsum(table[numbers])])
             logits = sums[ends[1:]] - sums[ends[:-1]]
             scores = np.full(len(logits), share) if share is not None else 1 / (1 + np.exp(-np.clip(np.round(logits, 9) + bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.columns if keep else [batch["doc_id"]]), pa.array(scores, pa.float64())], names=[*(batch.schema.names if keep else ["doc_id"]), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.columns if keep else [batch["doc_id"]]), pa.array(scores, pa.float64())], names=[*(batch.schema.names if keep else ["doc_id"]), keep or "score"])
 
     if keep:
-        return docs.mapInArrow(run, docs.schema.add("score", "double"))
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(keep, T.DoubleType())]))
     return texts(docs).mapInArrow(run, "doc_id long, score double")
