@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import compare, media_queries, pcm_queries, spectrum_queries
+
+PARTS = (pcm_queries, spectrum_queries, compare, media_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, f in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.oracle_sql().items()}
