@@ -43,10 +43,10 @@ class Words:
         self.cut, self.pieces = regex.compile(pattern).findall, Pieces(self._number, limit=1 << 62)
         self.seen: dict[str, int] = {}
 
-    def _number(self, piece: str) -> list[int]:
+    def _number(self, piece: str) -> bytes:
         # Where Unicode versions may differ, the piece stays whole and the encoder itself cuts it.
         words = self.cut(piece) if not piece or max(piece) < SETTLED else [piece]
-        return [self.seen.setdefault(w, len(self.seen)) for w in words]
+        return array("i", [self.seen.setdefault(w, len(self.seen)) for w in words]).tobytes()
 
     def digest(self) -> bytes:
         return hashlib.blake2b("\0".join(self.seen).encode(), digest_size=16).digest()

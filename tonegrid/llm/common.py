@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to Python: texts of some hundred KB each still fit.
-BATCH_ROWS = 2000
+BATCH_ROWS = 800
 #: Bytes of text that one block (a unit of work in Python) should hold.
 BLOCK_BYTES = 24 << 20
 

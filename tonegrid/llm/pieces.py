@@ -24,11 +24,11 @@ SETTLED = "԰"
 
 
 class Pieces:
-    """Numbers for the pieces of texts, by `numbers(piece)`; each distinct piece is asked for once.
+    """Numbers for the pieces of texts, by `numbers(piece)`, which gives them as bytes of int32; each distinct piece is asked for once.
 
     limit: distinct pieces that are remembered; beyond it all are forgotten, so memory stays bounded."""
 
-    def __init__(self, numbers, limit: int = 1_000_000):
+    def __init__(self, numbers, limit: int = 120_000):
         self.numbers, self.limit = numbers, limit
         self.forget()
 
@@ -37,7 +37,7 @@ class Pieces:
         self.flat, self.starts = array("i"), array("q", [0])
 
     def _row(self, piece: str, spaced: bool) -> int:
-        self.flat.extend(self.numbers(" " + piece if spaced else piece))
+        self.flat.frombytes(self.numbers(" " + piece if spaced else piece))
         self.starts.append(len(self.flat))
         row = self.rows[spaced][piece] = len(self.starts) - 2
         return row
@@ -110,29 +110,30 @@ def bytes_as_characters() -> dict[int, str]:
 class FileEncoder(Pieces):
     """ids of texts as the tokenizers library gives them for a byte-level BPE file, without special tokens."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 120_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.model, self.words, self.cut, self.signs = self.whole.model, {}, regex.compile(public_tokenizers.PATTERN).findall, bytes_as_characters()
+        self.model, self.cut, self.signs = self.whole.model, regex.compile(public_tokenizers.PATTERN).findall, bytes_as_characters()
+        # Two generations of words: when the newer is full it becomes the older, so words in use are never lost.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         super().__init__(self._ids, limit)
 
-    def forget(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        super().forget()
-
-    def _ids(self, piece: str) -> list[int]:
+    def _ids(self, piece: str) -> bytes:
         if piece and max(piece) >= SETTLED:
-            return self.whole.encode(piece, add_special_tokens=False).ids
-        out: list[int] = []
+            return array("i", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+        out = []
         for word in self.cut(piece):
             ids = self.words.get(word)
             if ids is None:
-                ids = self.words[word] = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))]
-            out += ids
-        return out
+                if len(self.words) >= self.limit:
+                    self.older, self.words = self.words, {}
+                ids = self.words[word] = self.older.get(word) or array("i", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
 
 _encoders: dict[str, FileEncoder] = {}

@@ -18,32 +18,34 @@ first. A null doc_id comes first. Empty table: empty files. Other columns are ig
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow, mix, new_path, parts, text_bytes, texts
 from .pieces import file_encoder
 
-#: ids that the rolling hash sees, and its low bits that must be zero: chunks of 2 ** BITS ids on average.
-SPAN, BITS, MOST = 8, 9, 1 << 14
+#: ids that the rolling hash sees, and its bits that must be zero: chunks of 2 ** BITS ids on average.
+SPAN, BITS, MOST = 4, 10, 1 << 14
+_NOISE = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 KEY_BYTES = 16
 OBJECTS = "key binary, kind string, doc_id long, n long, payload binary, sizes binary, root binary"
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray, span: int = SPAN, bits: int = BITS, most: int = MOST) -> np.ndarray:
     """Where chunks end, in all documents: ends has len(documents) + 1 offsets into ids."""
-    noise = mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    rolled = np.zeros(len(ids), np.uint64)
-    for j in range(span):
-        rolled[j:] += noise[: len(ids) - j] * np.uint64(2 * j + 3) if j else noise
-    hit = (mix(rolled) & np.uint64((1 << bits) - 1)) == 0
-    within = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends))
-    hit &= within >= span  # so that the hash never sees the document before
-    found = np.union1d(np.flatnonzero(hit) + 1, ends)
+    noise = _NOISE[ids & 0xFFFF]
+    rolled = noise.copy()
+    for j in range(1, span):
+        rolled[j:] += noise[: len(ids) - j] * np.uint32(2 * j + 1)
+    hits = np.flatnonzero((rolled * np.uint32(2654435761)) >> np.uint32(32 - bits) == 0)
+    hits = hits[hits - ends[np.searchsorted(ends, hits, "right") - 1] >= span]  # so that the hash never sees the document before
+    found = np.union1d(hits + 1, ends)
     lengths = np.diff(found)
     if len(lengths) and lengths.max() > most:  # a long stretch without a hit is cut at fixed steps from its start
         more = np.concatenate([np.arange(a, b, most) for a, b in zip(found[:-1], found[1:]) if b - a > most])
@@ -59,12 +61,8 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _squeeze(ids: np.ndarray) -> bytes:
-    return pa.compress(ids.astype("<u4").tobytes() if len(ids) and ids.max() > 65535 else ids.astype("<u2").tobytes(), codec="zstd", asbytes=True)
-
-
-def _expand(payload: bytes, n: int, wide: bool) -> np.ndarray:
-    return np.frombuffer(pa.decompress(payload, n * (4 if wide else 2), codec="zstd", asbytes=True), "<u4" if wide else "<u2")
+def _expand(payload: bytes, n: int, wide: bool, reader=None) -> np.ndarray:
+    return np.frombuffer((reader or zstandard.ZstdDecompressor()).decompress(payload, n * (4 if wide else 2)), "<u4" if wide else "<u2")
 
 
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
@@ -75,7 +73,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
     total = text_bytes(docs)
 
     def chunked(batches):
-        encode, sent = file_encoder(tokenizer), set()
+        encode, sent, squeeze = file_encoder(tokenizer), set(), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ends, ids = encode(batch["text"])
             n = len(ends) - 1
@@ -83,17 +81,19 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
             ends = ends + np.arange(n + 1)
             found = cuts(all_ids, ends)
             per_doc = np.searchsorted(found, ends)
-            raw = all_ids.astype("<u4")
+            # 16 bits hold the ids of most vocabularies; a batch with larger ones is stored by 32, marked by a negative n.
+            raw, wide = all_ids.astype("<u4").tobytes(), len(all_ids) > 0 and int(all_ids.max()) > 65535
+            thin = raw if wide else all_ids.astype("<u2").tobytes()
+            width = 4 if wide else 2
             keys, rows = [], []
-            for a, b in zip(found[:-1], found[1:]):
-                own = raw[a:b]
-                key = hashlib.blake2b(own.tobytes(), digest_size=KEY_BYTES).digest()
+            for a, b in itertools.pairwise(found.tolist()):
+                key = hashlib.blake2b(raw[4 * a : 4 * b], digest_size=KEY_BYTES).digest()
                 keys.append(key)
                 if key not in sent:
-                    if len(sent) > 500_000:
+                    if len(sent) > 300_000:
                         sent.clear()
                     sent.add(key)
-                    rows.append((key, "chunk", None, b - a if own.max() <= 65535 else a - b, _squeeze(own), None, None))
+                    rows.append((key, "chunk", None, a - b if wide else b - a, squeeze(thin[width * a : width * b]), None, None))
             sizes = np.diff(found).astype("<i4")
             for i, doc_id in enumerate(batch["doc_id"].to_pylist()):
                 x, y = per_doc[i], per_doc[i + 1]
@@ -202,10 +202,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     objects = spark.read.schema(OBJECTS).parquet(f"{path}/objects").where("kind = 'chunk'").select("key", "n", "payload")
 
     def checked(batches):
+        reader = zstandard.ZstdDecompressor()
         for batch in batches:
             crcs = []
             for key, n, payload in zip(*(batch[c].to_pylist() for c in ("key", "n", "payload"))):
-                raw = _expand(payload, abs(n), n < 0).astype("<u4").tobytes()
+                raw = _expand(payload, abs(n), n < 0, reader).astype("<u4").tobytes()
                 if hashlib.blake2b(raw, digest_size=KEY_BYTES).digest() != key:
                     raise ValueError(f"chunk {key.hex()} isn't what was stored")
                 crcs.append(zlib.crc32(raw))
