@@ -184,10 +184,10 @@ def split_count(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", text.split_count(t).alias("s")).select("event_id", "s.*")
 
 
-@_query("SELECT doc_id, translate(substr(text, 1, 40), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS key, trim(substr(text, 1, 40), ' ' || chr(0)) AS value FROM documents")
+@_query("SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS key, trim(text, ' ' || chr(0)) AS value FROM documents")
 def tag_text(spark, sf_dir):
-    """ASCII upper-casing and trimming, as tag fields have them: the field is 40 characters long."""
-    t = F.substring("text", 1, 40)
+    """ASCII upper-casing and trimming, as tag fields have them."""
+    t = F.col("text")
     padded = F.concat(F.lit("\0 "), t, F.lit(" \0\0"))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.upper_ascii(t).alias("key"), text.trimmed(padded).alias("value"))
 
