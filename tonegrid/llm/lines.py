@@ -47,7 +47,7 @@ def later_copies(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     while depth < min_lines:
         step = min(depth, min_lines - depth)  # the last step may overlap
         near = [F.lead(F.struct("__pos", "__rank", "__seen"), j).over(within) for j in range(1, step + 1)]
-        after = near[-1] if step == 1 else F.element_at(F.filter(F.array(*near), lambda x: x["__pos"] == F.col("__pos") + step), 1)
+        after = near[-1] if step == 1 else F.try_element_at(F.filter(F.array(*near), lambda x: x["__pos"] == F.col("__pos") + step), F.lit(1))
         paired = now.withColumn("__after", after).where(F.col("__after.__pos") == F.col("__pos") + step)
         rank = lambda c: F.struct(F.col(f"{c}.__doc"), F.col(f"{c}.__hash"), F.col(f"{c}.__pos"))
         paired = paired.select(*DOC, "__pos", (F.col("__seen") | F.col("__after.__seen")).alias("__seen"), rank("__rank").alias("__a"), rank("__after.__rank").alias("__b"))
