@@ -5,14 +5,16 @@
 2. Classes are posted under each (coordinate, value) pair of a prefix: two classes that agree in THRESHOLD coordinates meet
    under one of the first COORDINATES - THRESHOLD + 1. Postings travel packed, a row for each batch and value range, and are
    merged by value; values posted once are skipped.
-3. In each posting list collisions over all coordinates are counted. The first round keeps, for each class, one link to a pivot of its list, so
-   a list of n gives less than n links. Those are confirmed on full sets, and components formed. The second round asks in the
-   same lists for the pairs that pass the match threshold across different components; they are confirmed likewise. So no link
-   between components is lost, and no list emits all its pairs: near copies of one text are one component by then.
-4. Components: the smallest doc_id spreads over confirmed links with pointer jumping, in tables of the shared folder.
+3. In each posting list collisions over all coordinates are counted, and the pairs that pass the match threshold are walked from pivots, so
+   that a list of n gives a spanning forest of less than n links, not all its pairs. Spanning links are confirmed on full sets.
+4. Crowds (what spanning links connect, confirmed or not) hold every pair that passes. Where confirmed links leave a crowd in
+   several parts, members outside its largest part meet all others in blocks of bounded size, with their full sets: a block pair is one
+   matrix product, and it gives links between parts only. So no link is lost, and rows grow with members, not with pairs.
+5. Components: the smallest doc_id spreads over confirmed links with pointer jumping, in tables of the shared folder.
 
 The match threshold lies so far below the similarity that a pair at exactly 0.8 passes with a chance above 0.999999 (binomial);
-confirmation is exact, on the sets of 64-bit shingle hashes. A list so long that it spans several value ranges' worth of rows is compared in blocks.
+confirmation is exact, on the sets of 64-bit shingle hashes. The walk over a list of n
+classes that have nothing else in common compares n * n / 2 signatures in one task; copies and near copies don't, as a pivot takes them all.
 
 Null and empty texts, and texts without words: empty set, linked with nothing, a component each. Texts shorter than a
 shingle: the whole sequence is one shingle. Repeated rows: equal sets, so linked; the same doc_id twice gives two rows with equal
@@ -83,51 +85,37 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
-def collisions(block: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """In how many coordinates each row of one matrix agrees with each of another."""
-    out = np.zeros((len(block), len(others)), np.uint8)
-    for c in range(block.shape[1]):
-        out += block[:, c, None] == others[None, :, c]
-    return out
-
-
-def star_links(signs: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a list that passes with an earlier pivot, a link to it; the others become pivots."""
-    left, right = [], []
-    rest = np.arange(len(signs))
-    for _ in range(8):  # the second round takes up whatever is left
-        if len(rest) < 2:
-            break
-        pivot, rest = rest[0], rest[1:]
-        fit = _passing(collisions(signs[pivot : pivot + 1], signs[rest])[0], sizes[pivot], sizes[rest], similarity)
-        left.append(np.full(int(fit.sum()), pivot))
-        right.append(rest[fit])
-        rest = rest[~fit]
-    return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
-
-
 def _passing(counts, size, sizes, similarity: float):
     return (counts >= THRESHOLD) & (np.minimum(size, sizes) >= similarity * np.maximum(size, sizes) - 1e-9)
 
 
-def cross_links(signs: np.ndarray, sizes: np.ndarray, groups: np.ndarray, similarity: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a list that pass and lie in different components, found block by block."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a in range(0, len(signs), step):
-        for b in range(a, len(signs), step):
-            if groups[a] == groups[b] and (groups[a : a + step] == groups[a]).all() and (groups[b : b + step] == groups[a]).all():
-                continue
-            fit = _passing(collisions(signs[a : a + step], signs[b : b + step]), sizes[a : a + step, None], sizes[None, b : b + step], similarity)
-            fit &= groups[a : a + step, None] != groups[None, b : b + step]
-            i, j = np.nonzero(fit)
-            keep = i + a < j + b
-            left.append(i[keep] + a)
-            right.append(j[keep] + b)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def candidates(signed: DataFrame, n: int, similarity: float, cross: bool) -> DataFrame:
-    """Pairs of classes (a < b by class number) that a round asks about. signed: number, group, n_shingles, signature."""
+def spanning_links(signs: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[list, list]:
+    """A forest over a list's rows that connects every pair that passes: each pivot takes what passes with it from the rest,
+    and what it took are the next pivots. The first is the row most like the list's commonest values, so lists of one crowd begin alike."""
+    left, right, rest = [], [], np.arange(len(signs))
+    if len(signs) > 8:
+        ordered = np.sort(signs, 0)
+        commonest = ordered[len(signs) // 2]  # a value that most rows have is the middle one, too
+        first = int(np.argmax((signs == commonest).sum(1)))
+        rest = np.concatenate([[first], rest[rest != first]])
+    queue: list[int] = []
+    while len(rest):
+        if queue:
+            pivot = queue.pop()
+        else:
+            pivot, rest = int(rest[0]), rest[1:]
+        fit = _passing((signs[rest] == signs[pivot]).sum(1), sizes[pivot], sizes[rest], similarity)
+        if fit.any():
+            found = rest[fit].tolist()
+            left += [pivot] * len(found)
+            right += found
+            queue += found
+            rest = rest[~fit]
+    return left, right
+
+
+def candidates(signed: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Links (a < b, class numbers) that connect all pairs that pass the match threshold. signed: number, n_shingles, signature."""
     ranges = max(1, -(-n // RANGE_ROWS))
     width = (1 << 32) // ranges + 1
 
@@ -137,7 +125,7 @@ def candidates(signed: DataFrame, n: int, similarity: float, cross: bool) -> Dat
                 continue
             signs = np.frombuffer(b"".join(batch["signature"].to_pylist()), "<u4").reshape(-1, COORDINATES)
             small = signs.astype(np.uint8)  # the counting side travels as one byte a coordinate: never fewer agreements
-            number, group, sizes = (batch[c].to_numpy() for c in ("number", "grp", "n_shingles"))
+            number, sizes = batch["number"].to_numpy(), batch["n_shingles"].to_numpy()
             keys, rows = [], []
             for c in range(PREFIX):
                 part = (signs[:, c] * np.uint32(2654435761)) // np.uint32(width) if ranges > 1 else np.zeros(len(signs), np.uint32)  # minima are small: scatter them
@@ -146,42 +134,36 @@ def candidates(signed: DataFrame, n: int, similarity: float, cross: bool) -> Dat
                 for x, y in zip(edges, [*edges[1:], len(order)]):
                     own = order[x:y]
                     keys.append(c * ranges + int(part[own[0]]))
-                    rows.append((signs[own, c].tobytes(), number[own].tobytes(), group[own].tobytes(), sizes[own].astype("<i4").tobytes(), small[own].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows))], names=["key", "at", "number", "grp", "size", "signs"])
+                    rows.append((signs[own, c].tobytes(), number[own].tobytes(), sizes[own].astype("<i4").tobytes(), small[own].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows))], names=["key", "at", "number", "size", "signs"])
 
     def merged(rows: pa.Table) -> pa.Table:
-        at, number, group, sizes, signs = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("at", "<u4"), ("number", "<i8"), ("grp", "<i8"), ("size", "<i4"), ("signs", np.uint8)))
+        at, number, sizes, signs = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("at", "<u4"), ("number", "<i8"), ("size", "<i4"), ("signs", np.uint8)))
         signs = signs.reshape(-1, COORDINATES)
-        order = np.lexsort((number, sizes, group, at)) if cross else np.lexsort((number, sizes, at))
+        order = np.lexsort((number, at))
         ordered = at[order]
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         lengths = np.diff(np.append(edges, len(order)))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         # Lists of two, most by far, all at once; then list by list.
         pairs = edges[lengths == 2]
         i, j = order[pairs], order[pairs + 1]
-        agree = (signs[i] == signs[j]).sum(1)
-        fit = _passing(agree, sizes[i], sizes[j], similarity) & (group[i] != group[j])
-        left.append(i[fit])
-        right.append(j[fit])
+        fit = _passing((signs[i] == signs[j]).sum(1), sizes[i], sizes[j], similarity)
+        left, right = [i[fit]], [j[fit]]
         for e, n_ in zip(edges[lengths > 2], lengths[lengths > 2]):
             own = order[e : e + n_]
-            if (group[own] == group[own[0]]).all():
-                continue
-            x, y = cross_links(signs[own], sizes[own], group[own], similarity) if cross else star_links(signs[own], sizes[own], similarity)
+            x, y = spanning_links(signs[own], sizes[own], similarity)
             left.append(own[x])
             right.append(own[y])
-        a, b = number[np.concatenate(left)], number[np.concatenate(right)]
+        a, b = number[np.concatenate(left).astype(np.int64)], number[np.concatenate(right).astype(np.int64)]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
-    lists = signed.select("number", "grp", "n_shingles", "signature").mapInArrow(posted, "key long, at binary, number binary, grp binary, size binary, signs binary")
+    lists = signed.select("number", "n_shingles", "signature").mapInArrow(posted, "key long, at binary, number binary, size binary, signs binary")
     return lists.groupBy("key").applyInArrow(merged, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b: doc_ids of one text of either class) whose full sets reach the similarity."""
-    sides = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc_id and own (sorted shingle hashes) of the texts whose doc_id stands in wanted."""
 
     def run(batches):
         for batch in batches:
@@ -189,7 +171,101 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
             raw = hashes.tobytes()
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["doc_id", "own"])
 
-    sets = docs.join(sides, "doc_id", "left_semi").mapInArrow(run, "doc_id long, own binary")
+    return docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, own binary")
+
+
+#: Members of a crowd that a block holds: those outside its largest part, and those in it.
+BLOCK_OUTSIDE, BLOCK_INSIDE = 256, 512
+
+
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, top: int, columns: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Places in left and right of the sets that reach the similarity (in hundredths), by products of incidence matrices, some columns at a time."""
+    own = np.unique(np.concatenate([left, right]))
+    doc = np.repeat(np.arange(len(own)), [len(sets[i]) for i in own])
+    _, column, count = np.unique(np.concatenate([sets[i] for i in own]), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    doc, column = doc[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    x, y = np.searchsorted(own, left), np.searchsorted(own, right)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, (at, at + columns))
+        grid = np.zeros((len(own), columns), np.float32)
+        grid[doc[a:b], column[a:b] - at] = 1
+        both += grid[x] @ grid[y].T
+    sizes = np.array([len(sets[i]) for i in own], np.float64)
+    return np.nonzero(100 * both >= top * (sizes[x][:, None] + sizes[y][None, :] - both))
+
+
+def across(docs: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Confirmed links between the parts of each crowd. members: number, crowd, part."""
+    parts_ = members.groupBy("crowd", "part").agg(F.count("*").alias("n"))
+    crowds = parts_.groupBy("crowd").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top")).where("parts > 1 and n > 2")
+    size = lambda n, each: F.ceil(n / each).cast("int")
+    crowds = crowds.select("crowd", F.col("top.part").alias("main"), size(F.col("n") - F.col("top.n"), BLOCK_OUTSIDE).alias("outs"), size(F.col("top.n"), BLOCK_INSIDE).alias("ins"))
+    open_ = members.join(crowds, "crowd").withColumn("outside", F.col("part") != F.col("main"))
+    own = F.pmod(F.xxhash64("number"), F.when(F.col("outside"), F.col("outs")).otherwise(F.col("ins"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    unit = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+    here = F.col("own_block")
+    among = F.transform(upto(F.col("outs")), lambda j: unit(F.least(here, j), F.greatest(here, j), 0))
+    towards = F.transform(upto(F.col("ins")), lambda j: unit(here, j, 1))
+    units = F.when(F.col("outside"), F.concat(among, towards)).otherwise(F.transform(upto(F.col("outs")), lambda i: unit(i, here, 1)))
+    placed = stored(open_.withColumn("own_block", own).withColumn("units", units).select(F.col("number").alias("doc_id"), "crowd", "part", "outside", "own_block", "units"), "crowds")
+    rows = placed.join(sets_of(docs, placed, words), "doc_id").select("doc_id", "crowd", "part", "outside", "own_block", "own", F.explode("units").alias("u")).select("doc_id", "crowd", "part", "outside", "own_block", "own", "u.*")
+    # Units are dealt by hash, many small ones to a task; each is handled by itself.
+    dealt = rows.withColumn("deal", F.xxhash64("crowd", "i", "j", "kind")).repartition("deal").sortWithinPartitions("deal", "crowd", "i", "j", "kind", "doc_id")
+    top = round(similarity * 100)
+
+    def link(batches):
+        held: list = []
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("crowd", "i", "j", "kind", "doc_id", "part", "outside", "own_block", "own"))):
+                if held and held[0][:4] != row[:4]:
+                    yield _links(held, top)
+                    held = []
+                held.append(row)
+        if held:
+            yield _links(held, top)
+
+    return dealt.select("crowd", "i", "j", "kind", "doc_id", "part", "outside", "own_block", "own").mapInArrow(link, "a long, b long")
+
+
+def _links(rows: list, top: int) -> pa.RecordBatch:
+    """One link for each two parts of a unit that have any."""
+    _, i, j, kind = rows[0][:4]
+    sets = [np.frombuffer(r[8], "<u8") for r in rows]
+    if kind:
+        left = np.array([n for n, r in enumerate(rows) if r[6]], np.int64)
+        right = np.array([n for n, r in enumerate(rows) if not r[6]], np.int64)
+    else:
+        left = np.array([n for n, r in enumerate(rows) if r[7] == i], np.int64)
+        right = np.array([n for n, r in enumerate(rows) if r[7] == j], np.int64)
+    root = {r[5]: r[5] for r in rows}
+
+    def top_of(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    out: list = []
+    if len(left) and len(right):
+        for x, y in zip(*similar_pairs(sets, left, right, top)):
+            a, b = rows[left[x]], rows[right[y]]
+            p, q = top_of(a[5]), top_of(b[5])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((min(a[4], b[4]), max(a[4], b[4])))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b: doc_ids of one text of either class) whose full sets reach the similarity."""
+    sides = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+    sets = sets_of(docs, sides, words)
     top = round(similarity * 100)
 
     def check(batches):
@@ -233,14 +309,12 @@ def classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     full = signed.where("class is not null and doc_id is not null")
     # A class goes by its smallest doc_id; rows of one doc_id with different texts are one node of the graph.
     one = stored(full.groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("x")).select("class", F.col("x.doc_id").alias("number"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.signature").alias("signature")), "classes")
-    n = one.count()
-    fresh = one.withColumn("grp", F.col("number"))
-    first = stored(confirmed(stored(candidates(fresh, n, similarity, cross=False), "pairs"), docs, words, similarity).distinct(), "links")
-    labels = components(first)
-    grouped = one.join(labels, "number", "left").withColumn("grp", F.coalesce("grp", "number"))
-    second = confirmed(stored(candidates(grouped, n, similarity, cross=True), "pairs"), docs, words, similarity).distinct()
-    links = stored(first.union(second), "links")
-    final = components(links)
+    spanning = stored(candidates(one, one.count(), similarity), "spanning")
+    first = stored(confirmed(spanning, docs, words, similarity).distinct(), "links")
+    crowds, groups = components(spanning), components(first)
+    members = crowds.select("number", F.col("grp").alias("crowd")).join(groups.select("number", F.col("grp").alias("part")), "number", "left")
+    members = stored(members.withColumn("part", F.coalesce("part", "number")), "members")
+    final = components(first.union(across(docs, members, words, similarity)))
     by_class = one.select("class", "number").join(final, "number", "left").select("class", F.coalesce("grp", "number").alias("found"))
     whole = signed.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
