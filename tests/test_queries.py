@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck(sf_dir):
 
 
 def plain(v):
-    if v is None or v != v or str(v) in ("<NA>", "NaT"):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, (float, np.floating)):
         return 0.0 if v == 0 else float(f"{v:.9g}")
