@@ -47,8 +47,8 @@ def shift_search(pairs: DataFrame, words: DataFrame, id_column: str, max_shift:
 
 def likely_pairs(words: DataFrame, id_column: str, keep_bits: int = 16) -> DataFrame:
     """a_id < b_id of recordings that share a word's lower bits at any position: candidates for a comparison of all, without all pairs.
-    A bucket chains its members (each with the next), so a word that all recordings have gives as many pairs as it has members."""
-    keyed = words.select(id_column, F.col("word").bitwiseAND((1 << keep_bits) - 1).alias("key"), "pos").select(id_column, "key").distinct()
-    chained = keyed.groupBy("key").agg(F.sort_array(F.collect_set(id_column)).alias("ids")).where(F.size("ids") > 1)
-    pairs = chained.select(F.explode(F.zip_with(F.slice("ids", 1, F.size("ids") - 1), F.slice("ids", 2, F.size("ids") - 1), lambda x, y: F.struct(x.alias("a_id"), y.alias("b_id")))).alias("p"))
-    return pairs.select("p.*").distinct()
+    Each member of a bucket is paired with its smallest, so a word that all recordings have gives as many pairs as it has members;
+    the smallest comes from partial aggregates, and the join back is one that AQE splits."""
+    keyed = words.select(id_column, F.col("word").bitwiseAND((1 << keep_bits) - 1).alias("key")).distinct()
+    heads = keyed.groupBy("key").agg(F.min(id_column).alias("a_id"))
+    return keyed.join(heads, "key").where(F.col(id_column) != F.col("a_id")).select("a_id", F.col(id_column).alias("b_id")).distinct()

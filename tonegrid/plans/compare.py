@@ -87,5 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "shift_search": _shift_sql(),
         "similarity_join": f"WITH {_ROWS_SQL} {_JOIN_SQL}",
         "top_pairs": f"WITH {_ROWS_SQL}, j AS ({_JOIN_SQL}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS INTEGER) AS rank FROM j) SELECT * FROM k WHERE rank <= 3",
-        "likely_pairs": f"WITH {_ROWS_SQL}, k AS (SELECT DISTINCT rec, word % 64 AS key FROM r), c AS (SELECT rec AS a_id, lead(rec) OVER (PARTITION BY key ORDER BY rec) AS b_id FROM k) SELECT DISTINCT a_id, b_id FROM c WHERE b_id IS NOT NULL",
+        "likely_pairs": f"WITH {_ROWS_SQL}, k AS (SELECT DISTINCT rec, word % 64 AS key FROM r), c AS (SELECT min(rec) OVER (PARTITION BY key) AS a_id, rec AS b_id FROM k) SELECT DISTINCT a_id, b_id FROM c WHERE a_id <> b_id",
     }
