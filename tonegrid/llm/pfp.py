@@ -30,11 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_BYTES, arrow, buffers, mix, parts, partition_id, ragged, text_bytes, texts
+from .common import arrow, buffers, mix, parts, partition_id, ragged, text_bytes, texts
 from .words import _power
 
 TRIGGER = 24
 KEY_BYTES = 5
+#: Bytes of text in a block: a block's phrases, with the bytes that overlap, take up to ten times as much. Bytes of a dictionary's share.
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
 #: Bytes that the rolling hash takes at a time: documents are joined up to this size.
 STRETCH = 1 << 20
 NO_DOC = np.iinfo(np.int64).max
@@ -220,7 +222,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
     arrow(spark)
     docs = texts(docs)
     total = text_bytes(docs)
-    buckets = parts(spark, total, 16 << 20)
+    buckets = parts(spark, total, BUCKET_BYTES)
 
     def ids(column: pa.Array) -> np.ndarray:
         return column.fill_null(NO_DOC).to_numpy().astype("<i8")
