@@ -256,13 +256,15 @@ def frames_table(buffers: DataFrame, id_column: str = "recording_id") -> DataFra
 
 
 def frames_of_samples(samples: DataFrame, id_column: str = "recording_id") -> DataFrame:
-    """id, frame, samples from a long table (id, pos, value): each sample goes to the frames that hold it, so no array ever
-    holds a whole recording and a long one spreads over tasks. Incomplete frames are left out."""
-    last = F.floor(F.col("pos") / HOP)
-    first = F.greatest(F.ceil((F.col("pos") - (FRAME - 1)) / HOP), F.lit(0))
-    spread = samples.withColumn("frame", F.explode(F.sequence(first, last))).withColumn("at", (F.col("pos") - F.col("frame") * HOP).cast("int"))
-    grouped = spread.groupBy(id_column, "frame").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("x"))
-    return grouped.where(F.size("x") == FRAME).select(id_column, F.col("frame").cast("int").alias("frame"), F.col("x.value").alias("samples"))
+    """id, frame, samples from a long table (id, pos, value). Samples are gathered once, by hop; hops then go to the frames that
+    hold them (three whole ones and the start of a fourth), so no array ever holds a whole recording and a long one spreads
+    over tasks. Incomplete frames are left out."""
+    hops = samples.groupBy(id_column, F.floor(F.col("pos") / HOP).alias("hop")).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("x"))
+    whole = FRAME // HOP
+    spread = hops.select(id_column, "hop", F.col("x.value").alias("part"), F.explode(F.sequence(F.greatest(F.col("hop") - whole, F.lit(0)), F.col("hop"))).alias("frame"))
+    part = F.when(F.col("hop") - F.col("frame") == whole, F.slice("part", 1, FRAME - whole * HOP)).otherwise(F.col("part"))
+    grouped = spread.groupBy(id_column, "frame").agg(F.flatten(F.sort_array(F.collect_list(F.struct("hop", part.alias("part"))))["part"]).alias("samples"))
+    return grouped.where(F.size("samples") == FRAME).select(id_column, F.col("frame").cast("int").alias("frame"), "samples")
 
 
 def band_energy_table(frames: DataFrame, id_column: str = "recording_id") -> DataFrame:
