@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ class Pieces:
 
     limit: distinct pieces that are remembered; beyond it all are forgotten, so memory stays bounded."""
 
-    def __init__(self, numbers, limit: int = 120_000):
+    def __init__(self, numbers, limit: int = 400_000):
         self.numbers, self.limit = numbers, limit
         self.forget()
 
@@ -44,9 +45,9 @@ class Pieces:
 
     def _find(self, pieces, spaced: bool) -> np.ndarray:
         get = self.rows[spaced].get
-        rows = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
-        for j in np.flatnonzero(rows < 0):
-            rows[j] = self._row(pieces[j], spaced)
+        rows = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(rows < 0)
+        rows[missing] = [self._row(pieces[j], spaced) for j in missing.tolist()]
         return rows
 
     def _gather(self, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +111,7 @@ def bytes_as_characters() -> dict[int, str]:
 class FileEncoder(Pieces):
     """ids of texts as the tokenizers library gives them for a byte-level BPE file, without special tokens."""
 
-    def __init__(self, path: str, limit: int = 120_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -122,18 +123,23 @@ class FileEncoder(Pieces):
         self.older: dict[str, bytes] = {}
         super().__init__(self._ids, limit)
 
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= self.limit // 4:
+                self.older, self.words = self.words, {}
+            ids = self.words[word] = self.older.get(word) or array("i", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))]).tobytes()
+        return ids
+
     def _ids(self, piece: str) -> bytes:
-        if piece and max(piece) >= SETTLED:
+        if not piece.isascii() and max(piece) >= SETTLED:
             return array("i", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
-        out = []
-        for word in self.cut(piece):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= self.limit:
-                    self.older, self.words = self.words, {}
-                ids = self.words[word] = self.older.get(word) or array("i", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        # Letters alone, with or without the space before them, are one match; a stop or comma after them is another.
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self._word(piece)
+        if piece[-1:] in (".", ",") and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self._word(piece[:-1]) + self._word(piece[-1])
+        return b"".join(map(self._word, self.cut(piece)))
 
 
 _encoders: dict[str, FileEncoder] = {}
