@@ -99,18 +99,21 @@ def spanning_links(signs: np.ndarray, sizes: np.ndarray, similarity: float) -> t
         first = int(np.argmax((signs == commonest).sum(1)))
         rest = np.concatenate([[first], rest[rest != first]])
     queue: list[int] = []
+    others = np.ascontiguousarray(signs[rest])
     while len(rest):
         if queue:
             pivot = queue.pop()
         else:
-            pivot, rest = int(rest[0]), rest[1:]
-        fit = _passing((signs[rest] == signs[pivot]).sum(1), sizes[pivot], sizes[rest], similarity)
+            pivot, rest, others = int(rest[0]), rest[1:], others[1:]
+        # Agreements as bytes of 0 and 1, added up eight at a time.
+        agree = (others == signs[pivot]).view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)
+        fit = _passing(agree, sizes[pivot], sizes[rest], similarity)
         if fit.any():
             found = rest[fit].tolist()
             left += [pivot] * len(found)
             right += found
             queue += found
-            rest = rest[~fit]
+            rest, others = rest[~fit], others[~fit]
     return left, right
 
 
@@ -162,16 +165,49 @@ def candidates(signed: DataFrame, n: int, similarity: float) -> DataFrame:
     return lists.groupBy("key").applyInArrow(merged, "a long, b long").distinct()
 
 
+#: Bits of the filter of wanted ids, at most: with more ids than these tell apart it lets others through, which the join then drops.
+FILTER_BITS = 1 << 23
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, of bounded size: 32 bits an id, 1 MB at most."""
+    size = min(FILTER_BITS, 1 << max(16, (32 * ids.count()).bit_length()))
+
+    def run(batches):
+        for batch in batches:
+            at = _spots(batch["doc_id"].to_numpy(), size)
+            words, each = np.unique(at >> 6, return_inverse=True)
+            bits = np.zeros(len(words), np.uint64)
+            np.bitwise_or.at(bits, each, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    rows = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _spots(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id and own (sorted shingle hashes) of the texts whose doc_id stands in wanted."""
+    """doc_id and own (sorted shingle hashes) of the texts whose doc_id stands in wanted. A filter of bounded size drops most
+    others where they are read, so that sets are shuffled for the join, never all texts."""
+    ids = wanted.select("doc_id").distinct()
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(ids))
 
     def run(batches):
+        bits = sent.value
         for batch in batches:
+            batch = batch.filter(batch["doc_id"].is_valid())
+            at = _spots(batch["doc_id"].to_numpy(zero_copy_only=False), 64 * len(bits))
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             ends, hashes = shingles(batch["text"], words)
             raw = hashes.tobytes()
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["doc_id", "own"])
 
-    return docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, own binary")
+    return docs.mapInArrow(run, "doc_id long, own binary").join(ids, "doc_id", "left_semi")
 
 
 #: Members of a crowd that a block holds: those outside its largest part, and those in it.
