@@ -21,11 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import BLOCK_BYTES, arrow, parts, partition_id, ragged, text_bytes, texts
+from .common import arrow, parts, partition_id, ragged, text_bytes, texts
 from .pieces import SETTLED, Pieces
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-WORDS = "word binary, block long, number int"
+#: Bytes of text that a block should hold: the larger, the fewer words are named twice. Bits of a word's number, and of a block's within its partition.
+BLOCK_BYTES, NUMBER_BITS, BLOCK_BITS = 48 << 20, 28, 12
+WORDS = "word binary, place long"
 CODED = "block long, numbers binary, lengths binary, ids binary"
 PLACED = "block long, doc_ids binary, nulls binary, ends binary, numbers binary, digest binary"
 
@@ -60,7 +62,9 @@ def blocks(batches, pattern: str, most: int):
     def out():
         doc_ids = pa.concat_arrays([b for b, _, _ in held])
         ends = np.concatenate([np.zeros(1, np.int64), *(e[1:] + s for (_, e, _), s in zip(held, np.cumsum([0, *(len(x) for _, _, x in held[:-1])])))])
-        return (partition_id() << 24) + n, words, doc_ids, ends, np.concatenate([x for _, _, x in held])
+        if n >> BLOCK_BITS or len(words.seen) >> NUMBER_BITS:
+            raise ValueError("too many blocks in a partition, or words in a block")
+        return (partition_id() << BLOCK_BITS) + n, words, doc_ids, ends, np.concatenate([x for _, _, x in held])
 
     for batch in batches:
         if not len(batch):
@@ -139,7 +143,7 @@ def _joined(docs: DataFrame, rank_path: str, pattern: str, block_bytes: int, fin
     def words(batches):
         for block, found, *_ in blocks(batches, pattern, block_bytes):
             names = [w.encode() for w in found.seen]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.full(len(names), block)), pa.array(np.arange(len(names), dtype=np.int32))], names=["word", "block", "number"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array((block << NUMBER_BITS) + np.arange(len(names)))], names=["word", "place"])
 
     def placed(batches):
         for block, found, doc_ids, ends, numbers in blocks(batches, pattern, block_bytes):
@@ -165,14 +169,15 @@ def _joined(docs: DataFrame, rank_path: str, pattern: str, block_bytes: int, fin
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
             starts = np.cumsum(lengths) - lengths
-            codes, block = unique.indices.to_numpy(), batch["block"].to_numpy()
+            codes, place = unique.indices.to_numpy(), batch["place"].to_numpy()
+            block, number = place >> NUMBER_BITS, (place & ((1 << NUMBER_BITS) - 1)).astype("<i4")
             order = np.argsort(block, kind="stable")
             edges = np.flatnonzero(np.diff(block[order], prepend=-1)) if len(order) else []
             out: list[list] = [[], [], [], []]
             for a, b in zip(edges, [*edges[1:], len(order)]):
                 rows = order[a:b]
                 own = codes[rows]
-                for column, x in zip(out, (int(block[rows[0]]), batch["number"].to_numpy()[rows].astype("<i4").tobytes(), lengths[own].astype("<u2" if lengths.max() < 65536 else "<i4").tobytes(), flat[ragged(starts[own], lengths[own])].astype("<i4").tobytes())):
+                for column, x in zip(out, (int(block[rows[0]]), number[rows].tobytes(), lengths[own].astype("<u2" if lengths.max() < 65536 else "<i4").tobytes(), flat[ragged(starts[own], lengths[own])].astype("<i4").tobytes())):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["block", "numbers", "lengths", "ids"])
 
