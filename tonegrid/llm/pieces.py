@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +37,19 @@ class Pieces:
         self.rows: tuple[dict, dict] = ({}, {})
         self.flat, self.starts = array("i"), array("q", [0])
 
-    def _row(self, piece: str, spaced: bool) -> int:
-        self.flat.frombytes(self.numbers(" " + piece if spaced else piece))
-        self.starts.append(len(self.flat))
-        row = self.rows[spaced][piece] = len(self.starts) - 2
-        return row
-
     def _find(self, pieces, spaced: bool) -> np.ndarray:
-        get = self.rows[spaced].get
-        rows = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(rows < 0)
-        rows[missing] = [self._row(pieces[j], spaced) for j in missing.tolist()]
+        table, numbers, lead = self.rows[spaced], self.numbers, " " if spaced else ""
+        rows = np.fromiter(map(table.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(rows < 0).tolist()
+        if missing:
+            names = [pieces[j] for j in missing]
+            new = list(dict.fromkeys(names))
+            made = [numbers(lead + p) for p in new]
+            first = len(self.starts) - 1
+            self.starts.extend(accumulate((len(m) >> 2 for m in made[1:]), initial=len(self.flat) + (len(made[0]) >> 2)))
+            self.flat.frombytes(b"".join(made))
+            table.update(zip(new, range(first, first + len(new))))
+            rows[missing] = [table[p] for p in names]
         return rows
 
     def _gather(self, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
