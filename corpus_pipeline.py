@@ -28,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines are cut out of texts; every document stays, an altogether repeated one as an empty text."""
+    """Later copies of runs of two or more lines, or of one line of 50 words or more, are cut out of texts; every document stays, an altogether repeated one as an empty text."""
     common.release()  # tables of the stage before: its result has been written
-    return _like(lines.remove_lines(docs), docs)
+    return _like(lines.remove_lines(docs, long_words=50), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,6 +258,38 @@ def test_line_runs(spark, m):
     assert found.columns[: len(cases.SCHEMA.split(","))] == [c.split()[0] for c in cases.SCHEMA.split(", ")]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_long_single_lines(spark, seed):
+    rng = random.Random(seed)
+    long = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate((50, 50, 60, 49))]
+    pool = [*long, "short one", "", "  "]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else f"own {i} {rng.random()}" for _ in range(rng.randint(0, 9)))) for i in range(40)]
+    rows += [(100, None), (None, rows[0][1]), rows[4], rows[4], (101, long[2])]
+    places = sorted({(d, t) for d, t in rows if d is not None and t is not None}, key=lambda x: x[0])
+    first: dict = {}
+    for p in places:
+        for i, x in enumerate(p[1].split("\n")):
+            first.setdefault(x, (p, i))
+    pairs: dict = {}
+    for p in places:
+        ls = p[1].split("\n")
+        for i in range(len(ls) - 1):
+            pairs.setdefault((ls[i], ls[i + 1]), (p, i))
+    want = []
+    for d, t in rows:
+        if d is None or t is None:
+            want.append((-1 if d is None else d, t or "", 0))
+            continue
+        ls = t.split("\n")
+        gone = {i for i, x in enumerate(ls) if len(x.split()) >= 50 and first[x] != ((d, t), i)}
+        for i in range(len(ls) - 1):
+            if (ls[i] + ls[i + 1]).strip() and pairs[ls[i], ls[i + 1]] != ((d, t), i):
+                gone |= {i, i + 1}
+        want.append((d, "\n".join(x for i, x in enumerate(ls) if i not in gone), len(gone)))
+    found = lines.remove_lines(cases.documents(spark, rows), counts=True, long_words=50).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "", r["n_removed"]) for r in found) == sorted(want)
+
+
 def test_lines_of_the_cases_and_of_nothing(spark, docs, empty):
     rows = [r for r in cases.texts() if r != (5, "another text of the same id")]
     got = sorted(((r["doc_id"] or -1), r["text"] or "") for r in lines.remove_lines(cases.documents(spark, rows)).collect())

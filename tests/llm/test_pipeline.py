@@ -46,3 +46,10 @@ def test_queries_are_registered():
     assert "pipeline" in names
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
+
+
+def test_long_lines_are_gone_from_the_corpus(spark, sf_dir):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, cases.documents(spark, rows), sf_dir).collect()}
+    assert out == {1: rows[0][1], 2: "c\nd", 3: ""}

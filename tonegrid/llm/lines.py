@@ -5,7 +5,8 @@ lines, until `min_lines` are told apart; the rank of a group of equal prefixes i
 position). Suffixes that are alone in their group at some depth are left out from there on: they repeat nothing, so after
 the first step only lines with copies travel. Groups of at least two at depth min_lines are the intervals whose longest common prefix
 reaches it; the lines that begin at all but the first place of an interval belong to later copies. Adjacent and overlapping ones
-form maximal runs, and these are cut out of the text.
+form maximal runs, and these are cut out of the text. With `long_words`, a single line of at least so many words (parted by blanks) is a
+repeated run too, whatever stands around it: its first place in the corpus is kept, the others go.
 
 Groups are formed by aggregates with partial sums and joined back, never by a window over a group: a line that a third of all
 documents share is one row after partial aggregation, and the join's other side is split by AQE.
@@ -55,18 +56,35 @@ def later_copies(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     return now.where("__seen").where(F.col("__rank") != place).select(*DOC, "__pos")
 
 
-def runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def later_long_lines(docs: DataFrame, long_words: int) -> DataFrame:
+    """__doc, __hash, __pos (from 0) of lines of at least long_words words that also stand at an earlier place."""
+    if long_words < 1:
+        raise ValueError("long_words must be positive")
+    line = F.col("__line")
+    lines = _keyed(docs).where("__doc is not null and text is not null").select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("__pos", "__line"))
+    # So many words have a length of their own: only then are they counted.
+    long = F.when(F.length(line) >= 2 * long_words - 1, F.regexp_count(line, F.lit("[^ \t\r]+")) >= long_words).otherwise(False)
+    named = lines.where(long).select(*DOC, "__pos", F.xxhash64(line).alias("__a"), F.xxhash64(F.lit(17), line).alias("__b"))
+    place = F.struct(*DOC, "__pos")
+    groups = named.groupBy("__a", "__b").agg(F.min(place).alias("__rank"), F.max(place).alias("__last")).where("__rank <> __last")
+    return named.join(groups.drop("__last"), ["__a", "__b"]).where(F.col("__rank") != place).select(*DOC, "__pos")
+
+
+def runs(docs: DataFrame, min_lines: int = 2, long_words: int | None = None) -> DataFrame:
     """__doc, __hash and __runs: maximal runs (first, end) of lines to delete, by position, for documents that have any."""
     within = Window.partitionBy(*DOC).orderBy("__pos")
-    starts = later_copies(docs, min_lines).distinct()
-    new = F.coalesce(F.col("__pos") > F.lag("__pos").over(within) + min_lines, F.lit(True))
-    islands = starts.withColumn("__run", F.sum(new.cast("int")).over(within)).groupBy(*DOC, "__run").agg(F.min("__pos").alias("first"), (F.max("__pos") + min_lines).alias("end"))
+    starts = later_copies(docs, min_lines).withColumn("__end", F.col("__pos") + min_lines)
+    if long_words is not None:
+        starts = starts.unionByName(later_long_lines(docs, long_words).withColumn("__end", F.col("__pos") + 1))
+    starts = starts.groupBy(*DOC, "__pos").agg(F.max("__end").alias("__end"))
+    new = F.coalesce(F.col("__pos") > F.max("__end").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    islands = starts.withColumn("__run", F.sum(new.cast("int")).over(within)).groupBy(*DOC, "__run").agg(F.min("__pos").alias("first"), F.max("__end").alias("end"))
     return islands.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("__runs"))
 
 
-def remove_lines(docs: DataFrame, min_lines: int = 2, counts: bool = False) -> DataFrame:
+def remove_lines(docs: DataFrame, min_lines: int = 2, counts: bool = False, long_words: int | None = None) -> DataFrame:
     """docs with later copies cut out of text; with counts also n_lines, n_removed and n_runs."""
-    found = runs(docs, min_lines)
+    found = runs(docs, min_lines, long_words)
     keyed = _keyed(docs)
     joined = keyed.join(found, DOC, "left").withColumn("__lines", F.when(F.col("__runs").isNotNull() | F.lit(counts), F.split("text", "\n", -1)))
     n, r = F.size("__runs"), F.col("__runs")
