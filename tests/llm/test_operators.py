@@ -363,6 +363,17 @@ def test_secret_network_holds_out(spark):
     assert ((chances >= 0.5) == truth).mean() > 0.95
 
 
+def test_secret_tokens_with_few_digits(spark):
+    assert [t for a, b in secrets.find_tokens("see AbCdEfGhIjKlMnOpQrSt, and aaaaaaaaaaaaaaa1") for t in ["see AbCdEfGhIjKlMnOpQrSt, and aaaaaaaaaaaaaaa1"[a:b]]] == ["AbCdEfGhIjKlMnOpQrSt", "aaaaaaaaaaaaaaa1"]
+    model, rng = secrets.CharCnn(), random.Random(4)
+    train, test = secrets.made_up(3000, seed=1), secrets.made_up(1000, seed=2)
+    model.fit([w for w, _ in train], np.array([y for _, y in train]))
+    model.calibrate([w for w, _ in test], np.array([y for _, y in test]), 0.99)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = ["some words stand before it here: and key " + "".join(rng.choice(signs) for _ in range(36)) + "7 and some words behind" for _ in range(100)]
+    assert np.mean([len(spans) for _, spans in secrets.all_spans(texts, model)]) > 0.8
+
+
 def check_packing(rows, docs_ids, size):
     pieces, windows = {}, {}
     for r in rows:
