@@ -374,6 +374,19 @@ def test_secret_tokens_with_few_digits(spark):
     assert np.mean([len(spans) for _, spans in secrets.all_spans(texts, model)]) > 0.8
 
 
+class FixedModel:
+    """Takes for a secret, with a chance of 0.4, what has a mark inside; else with one of 0.1."""
+
+    threshold = 0.3
+
+    def probability(self, windows):
+        return np.array([0.4 if b"MARK" in w[secrets.LEFT : secrets.LEFT + secrets.INSIDE] else 0.1 for w in windows])
+
+
+def test_secret_threshold_has_no_floor():
+    assert secrets.all_spans(["see abcdefghMARKabcdefgh now", "see abcdefghabcdefghabcd now"], FixedModel()) == [([], [("model", 4, 24)]), ([], [])]
+
+
 def check_packing(rows, docs_ids, size):
     pieces, windows = {}, {}
     for r in rows:
