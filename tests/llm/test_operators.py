@@ -387,6 +387,13 @@ def test_secret_threshold_has_no_floor():
     assert secrets.all_spans(["see abcdefghMARKabcdefgh now", "see abcdefghabcdefghabcd now"], FixedModel()) == [([], [("model", 4, 24)]), ([], [])]
 
 
+@pytest.mark.parametrize("before", [0, 17, 36, 37, 40, 79, 150])
+@pytest.mark.parametrize("behind", [0, 1, 30, 300])
+def test_secret_windows_cover_long_tokens(before, behind):
+    token = "x" * (16 + before) + "MARK" + "y" * behind
+    assert secrets.all_spans(["see " + "z" * 60 + " or " + token + " now"], FixedModel()) == [([], [("model", 68, 68 + len(token))])]
+
+
 def check_packing(rows, docs_ids, size):
     pieces, windows = {}, {}
     for r in rows:
