@@ -109,3 +109,17 @@ def test_fingerprints_of_lossless_files_agree(spark):
     df = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "i int, content binary")
     got = audio.fingerprints(df).orderBy("i").collect()
     assert got[0]["fingerprint"]["words"] == got[1]["fingerprint"]["words"] and len(got[0]["chroma"]["words"]) == 3
+
+
+def test_likely_pairs_are_all_that_share_a_key(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, p, int(w)) for i in range(60) for p, w in enumerate(rng.integers(0, 1 << 32, 3) * 16 % (1 << 32) + rng.integers(0, 3, 3))]
+    rows += [(i, 9, 5) for i in range(40)] + [(100, 0, 7), (101, 0, 7), (102, 0, 8)]
+    keys: dict = {}
+    for i, _, w in rows:
+        keys.setdefault(w & 15, set()).add(i)
+    want = {(a, b) for ids in keys.values() for a in ids for b in ids if a < b}
+    df = spark.createDataFrame(rows, "rec long, pos int, word long")
+    for block in (1, 4, 256):
+        found = sim.likely_pairs(df, "rec", 4, block).collect()
+        assert len(found) == len(want) and {(r["a_id"], r["b_id"]) for r in found} == want

@@ -45,10 +45,24 @@ def shift_search(pairs: DataFrame, words: DataFrame, id_column: str, max_shift:
     return each.groupBy("a_id", "b_id").agg(F.max("s").alias("similarity"))
 
 
-def likely_pairs(words: DataFrame, id_column: str, keep_bits: int = 16) -> DataFrame:
-    """a_id < b_id of recordings that share a word's lower bits at any position: candidates for a comparison of all, without all pairs.
-    Each member of a bucket is paired with its smallest, so a word that all recordings have gives as many pairs as it has members;
-    the smallest comes from partial aggregates, and the join back is one that AQE splits."""
+def likely_pairs(words: DataFrame, id_column: str, keep_bits: int = 16, block: int = 256) -> DataFrame:
+    """a_id < b_id of all recordings that share a word's lower bits at any position: candidates for a comparison of all.
+    Every pair of a bucket is given. A bucket of n members is dealt by their hashes to n / block blocks, and pairs of blocks are joined by their
+    numbers, so no task gets a whole large bucket; the pairs are as many as the buckets have."""
+    if block < 1:
+        raise ValueError("block must be positive")
+    keyed = words.select(F.col(id_column).alias("id"), F.col("word").bitwiseAND((1 << keep_bits) - 1).alias("key")).where("id is not null").distinct()
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = keyed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    x = dealt.select("key", F.col("id").alias("x"), F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"))
+    y = dealt.select("key", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"))
+    pairs = x.join(y, ["key", "lo", "hi"]).where("lo < hi or x < y")
+    return pairs.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).distinct()
+
+
+def bucket_heads(words: DataFrame, id_column: str, keep_bits: int = 16) -> DataFrame:
+    """a_id < b_id: each recording with the smallest one of every bucket of equal lower bits it is in. Fewer than likely_pairs(), whose
+    pairs behind a bucket's smallest aren't among these."""
     keyed = words.select(id_column, F.col("word").bitwiseAND((1 << keep_bits) - 1).alias("key")).distinct()
     heads = keyed.groupBy("key").agg(F.min(id_column).alias("a_id"))
     return keyed.join(heads, "key").where(F.col(id_column) != F.col("a_id")).select("a_id", F.col(id_column).alias("b_id")).distinct()

@@ -62,8 +62,8 @@ def top_pairs(spark, sf_dir):
 
 
 def likely_pairs(spark, sf_dir):
-    """Candidates by equal low bits of words, without all pairs."""
-    return sim.likely_pairs(_words(spark, sf_dir).withColumn("word", F.col("word") % 64), "rec", 6)
+    """Recordings with the smallest of each bucket of equal low bits."""
+    return sim.bucket_heads(_words(spark, sf_dir).withColumn("word", F.col("word") % 64), "rec", 6)
 
 
 def queries() -> dict:
