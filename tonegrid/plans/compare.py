@@ -1,4 +1,5 @@
-"""Comparing fingerprints: words made of event ids stand for recordings of a dozen words each."""
+"""Comparing fingerprints: words made of event ids stand for recordings. The first seven queries read a dozen words of each of fifty, as
+their SQL states; whole_... read all events, a recording for each user, and compare without a cut."""
 
 from __future__ import annotations
 
@@ -66,8 +67,61 @@ def likely_pairs(spark, sf_dir):
     return sim.bucket_heads(_words(spark, sf_dir).withColumn("word", F.col("word") % 64), "rec", 6)
 
 
+def _recordings(spark, sf_dir):
+    """Every event: a user's events are a recording, in the order of event_id."""
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null and event_id is not null")
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return e.select(F.col("user_id").alias("rec"), pos.alias("pos"), (F.col("event_id") * 2654435761 % (1 << 32)).alias("word"))
+
+
+def _neighbours(spark, sf_dir):
+    """Each recording with the next by number: a stated list of pairs."""
+    a = _recordings(spark, sf_dir).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("x")).select("rec", F.col("x.word").alias("words"))
+    return a.select(F.col("rec").alias("a_id"), F.col("words").alias("a"), (F.col("rec") + 1).alias("b_id")).join(a.select(F.col("rec").alias("b_id"), F.col("words").alias("b")), "b_id")
+
+
+def whole_popcount(spark, sf_dir):
+    return _recordings(spark, sf_dir).select("rec", "pos", F.bit_count("word").cast("int").alias("bits"))
+
+
+def whole_similarity(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("a_id", "b_id", F.round(sim.similarity(F.col("a"), F.col("b")), 12).alias("similarity"))
+
+
+def whole_offset_similarity(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("a_id", "b_id", F.round(sim.offset_similarity(F.col("a"), F.col("b")), 12).alias("similarity"))
+
+
+def whole_similarity_join(spark, sf_dir):
+    """Every ordered pair of different recordings: as many rows as the square of their number."""
+    w = _recordings(spark, sf_dir)
+    return sim.similarity_join(w, w, "rec", "rec").where("a_id <> b_id").withColumn("similarity", F.round("similarity", 12))
+
+
+def whole_shift_search(spark, sf_dir):
+    pairs = _neighbours(spark, sf_dir).select("a_id", "b_id")
+    return sim.shift_search(pairs, _recordings(spark, sf_dir), "rec").withColumn("similarity", F.round("similarity", 12))
+
+
+def whole_top_pairs(spark, sf_dir):
+    """Each recording's three most similar among all others, by similarity, then id."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id"))
+    return whole_similarity_join(spark, sf_dir).withColumn("rank", rank).where("rank <= 3")
+
+
+def whole_likely_pairs(spark, sf_dir):
+    """All pairs of recordings that share the low nine bits of a word."""
+    return sim.likely_pairs(_recordings(spark, sf_dir), "rec", 9)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (popcount, similarity, offset_similarity, similarity_join, shift_search, top_pairs, likely_pairs)}
+    cut = (popcount, similarity, offset_similarity, similarity_join, shift_search, top_pairs, likely_pairs)
+    whole = (whole_popcount, whole_similarity, whole_offset_similarity, whole_similarity_join, whole_shift_search, whole_top_pairs, whole_likely_pairs)
+    return {f.__name__: f for f in cut + whole}
 
 
 _JOIN_SQL = f"SELECT a.rec AS a_id, b.rec AS b_id, round(1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE), 12) AS similarity FROM r AS a JOIN r AS b ON a.pos = b.pos WHERE a.rec < 10 AND b.rec >= 40 GROUP BY a.rec, b.rec"
@@ -79,8 +133,30 @@ e AS (SELECT a.rec AS a_id, b.rec AS b_id, s, 1 - sum({_DIFF}) / (count(*) * 32.
 SELECT a_id, b_id, round(max(v), 12) AS similarity FROM e GROUP BY a_id, b_id"""
 
 
-def oracle_sql() -> dict[str, str]:
+_WHOLE_SQL = f"r AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, {_MIX} AS word FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL)"
+_ALL_SQL = f"SELECT a.rec AS a_id, b.rec AS b_id, round(1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE), 12) AS similarity FROM r AS a JOIN r AS b ON a.pos = b.pos AND a.rec <> b.rec GROUP BY a.rec, b.rec"
+
+
+def _whole_shift_sql() -> str:
+    return f"""WITH {_WHOLE_SQL}, s AS (SELECT unnest(range(-64, 65)) AS s),
+e AS (SELECT a.rec AS a_id, b.rec AS b_id, s, 1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE) AS v FROM r AS a JOIN s ON true JOIN r AS b ON b.rec = a.rec + 1 AND b.pos = a.pos + s GROUP BY ALL)
+SELECT a_id, b_id, round(max(v), 12) AS similarity FROM e GROUP BY a_id, b_id"""
+
+
+def _whole_sql() -> dict[str, str]:
     return {
+        "whole_popcount": f"WITH {_WHOLE_SQL} SELECT rec, CAST(pos AS INTEGER) AS pos, CAST(bit_count(word) AS INTEGER) AS bits FROM r",
+        "whole_similarity": f"WITH {_WHOLE_SQL} SELECT a.rec AS a_id, b.rec AS b_id, round(1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE), 12) AS similarity FROM r AS a JOIN r AS b ON b.rec = a.rec + 1 AND a.pos = b.pos GROUP BY a.rec, b.rec",
+        "whole_offset_similarity": _whole_shift_sql(),
+        "whole_shift_search": _whole_shift_sql(),
+        "whole_similarity_join": f"WITH {_WHOLE_SQL} {_ALL_SQL}",
+        "whole_top_pairs": f"WITH {_WHOLE_SQL}, j AS ({_ALL_SQL}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS INTEGER) AS rank FROM j) SELECT * FROM k WHERE rank <= 3",
+        "whole_likely_pairs": f"WITH {_WHOLE_SQL}, k AS (SELECT DISTINCT rec, word % 512 AS key FROM r) SELECT DISTINCT a.rec AS a_id, b.rec AS b_id FROM k AS a JOIN k AS b ON a.key = b.key AND a.rec < b.rec",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return _whole_sql() | {
         "popcount": f"WITH {_ROWS_SQL} SELECT rec, CAST(pos AS INTEGER) AS pos, CAST(bit_count(word) AS INTEGER) AS bits FROM r",
         "similarity": f"WITH {_ROWS_SQL} SELECT a.rec AS a_id, b.rec AS b_id, round(1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE), 12) AS similarity FROM r AS a JOIN r AS b ON b.rec = a.rec + 1 AND a.pos = b.pos GROUP BY a.rec, b.rec",
         "offset_similarity": _shift_sql(),
