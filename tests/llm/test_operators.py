@@ -325,6 +325,16 @@ def test_toxicity_finds_what_labels_mark(spark, empty):
     assert {r["score"] for r in toxicity.score(docs, flat).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_label_at_every_size():
+    n = 4200
+    labels = (np.arange(n) % 10 == 4).astype(np.int64)
+    rare = np.arange(n) % 20 == 14  # only in the last of the five folds
+    lists = [np.array([1, 3] if r else [1, 2] if y else [1]) for y, r in zip(labels, rare)]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    model = toxicity.fit(ends, np.concatenate(lists), labels, bits=4)
+    assert {2, 3} <= set(model["at"].tolist())
+
+
 BASE = (
     ("assign", re.compile(r"""((?:[pP][aA][sS][sS][wW](?:[oO][rR])?[dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),

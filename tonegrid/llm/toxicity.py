@@ -3,7 +3,8 @@
 train(): at most `most` labels (those with the smallest hash of doc_id: the bound is a parameter, the same at every
 size of the input) choose texts, which go to one task as sparse features; FTRL-proximal takes them one by one with a
 learning rate for each coordinate, and L1 leaves few weights, which the driver gets and broadcasts: their size is bounded by
-the sample, not by the corpus. The cut's place on the 0-to-1 scale is calibrated on rows held back from learning, so that few clean ones lie above.
+the sample, not by the corpus. The cut's place on the 0-to-1 scale is calibrated by five folds, on rows held back from learning, so that few
+clean ones lie above; then all rows of the sample are learned from, at every size of it.
 score(): every whole text, by the same features, in Arrow batches; nothing is shuffled.
 
 A feature counts once for each document, however often it stands there. Null and empty texts: no features, so the bias alone.
@@ -95,20 +96,19 @@ def best_cut(logits: np.ndarray, truth: np.ndarray, spare: float = 0.02) -> floa
     return float(values[best] + (values[best + 1] if best + 1 < len(values) else values[best] - 1)) / 2
 
 
-def fit(ends: np.ndarray, numbers: np.ndarray, labels: np.ndarray, bits: int = BITS, passes: int = 8, threshold: float = 0.3, few: int = 4000) -> dict:
-    """Sparse weights (at, weight) and the bias, which puts the best cut at `threshold`. The cut is found on rows that
-    the weights weren't learned from: a fifth of them, or, with fewer than `few`, all in turn."""
+def fit(ends: np.ndarray, numbers: np.ndarray, labels: np.ndarray, bits: int = BITS, passes: int = 8, threshold: float = 0.3) -> dict:
+    """Sparse weights (at, weight), learned from all rows, and the bias, which puts the best cut at `threshold`. The cut is found over all rows,
+    each scored by weights learned from the other four fifths."""
     n = len(labels)
     if not n or labels.min() == labels.max():
         share = float(labels.mean()) if n else 0.0
         return {"at": np.zeros(0, np.int64), "weight": np.zeros(0), "share": share}
     fold, logits = np.arange(n) % 5, np.full(n, np.nan)
-    for f in range(4, -1, -1) if n < few else (4,):
+    for f in range(5):
         if labels[fold != f].min() != labels[fold != f].max():
             w = learned(ends, numbers, labels, np.flatnonzero(fold != f), bits, passes)
             logits[fold == f] = [w[numbers[ends[i] : ends[i + 1]]].sum() + w[-1] for i in np.flatnonzero(fold == f)]
-    if n < few:
-        w = learned(ends, numbers, labels, np.arange(n), bits, passes)
+    w = learned(ends, numbers, labels, np.arange(n), bits, passes)
     known = ~np.isnan(logits)
     cut = best_cut(logits[known], labels[known]) if known.any() else 0.0
     at = np.flatnonzero(w[:-1])
