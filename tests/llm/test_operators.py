@@ -508,3 +508,15 @@ def test_words_hash_as_words_do():
 
 def test_ranks_file():
     assert base64.b64encode(next(k for k, v in bpe.ranks(RANKS).items() if v == 0))
+
+
+def test_token_store_sees_exchanged_recipes(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    tokenstore.write_store(cases.documents(spark, [(1, "some words"), (2, "other words than these")]), JSON, f"file://{path}")
+    recipes = spark.read.parquet(f"file://{path}/recipes").toPandas().sort_values("doc_id")
+    for taken in (["keys"], ["keys", "sizes", "root"]):
+        changed = recipes.copy()
+        changed[taken] = recipes[taken].to_numpy()[::-1]
+        spark.createDataFrame(list(changed[[c.split()[0] for c in tokenstore.RECIPES.split(", ")]].itertuples(index=False, name=None)), tokenstore.RECIPES).write.mode("overwrite").parquet(f"file://{path}/recipes")
+        with pytest.raises(Exception, match="isn't what was stored|don't agree with the manifest"):
+            tokenstore.read_store(spark, f"file://{path}").collect()

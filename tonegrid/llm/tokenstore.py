@@ -8,7 +8,8 @@ for each recipe file the root over its documents' roots, which are the roots ove
 Files (Parquet, below one path): objects/kind=chunk (key, n, payload: zstd of little-endian ids), objects/kind=recipe
 (as written), recipes (doc_id, start, n_tokens, keys, sizes, root; sorted), manifest (file, n_docs, n_tokens, start, root).
 
-read_store(): reads all chunks back, checks each against its hash, and derives each document's crc32 from those of
+read_store(): recomputes roots from the recipes and compares them with those of the recipes and of the manifest before anything is read,
+reads all chunks back, checks each against its hash, and derives each document's crc32 from those of
 its chunks (crc32 is linear, so a chunk's part is its crc32 shifted by the bytes after it): only keys are shuffled, never ids.
 verify_store(): recomputes roots and compares them with the manifest. restore(): ids of documents.
 
@@ -145,19 +146,22 @@ def _roots(spark: SparkSession, path: str) -> DataFrame:
     def rooted(batches):
         leaves: dict[int, list] = {}
         for batch in batches:
-            for file, keys in zip(batch["file"].to_pylist(), batch["keys"].to_pylist()):
-                leaves.setdefault(file, []).append(merkle([keys[i : i + KEY_BYTES] for i in range(0, len(keys), KEY_BYTES)]))
+            for file, keys, root in zip(*(batch[c].to_pylist() for c in ("file", "keys", "root"))):
+                found = merkle([keys[i : i + KEY_BYTES] for i in range(0, len(keys), KEY_BYTES)])
+                if found != root:
+                    raise ValueError(f"a recipe of file {file} isn't what was stored")
+                leaves.setdefault(file, []).append(found)
         yield pa.RecordBatch.from_arrays([pa.array(list(leaves), pa.int32()), pa.array([merkle(x) for x in leaves.values()], pa.binary())], names=["file", "root"])
 
     n = parts(spark, 0, 1)
-    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("file", "start", "keys")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("file", "start", "keys", "root")
     return recipes.repartition(n, "file").sortWithinPartitions("file", "start").mapInArrow(rooted, "file int, root binary")
 
 
 def verify_store(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the manifest whose root doesn't follow from the recipes: none, if all is well."""
     manifest = spark.read.schema("file int, n_docs long, n_tokens long, start long, root binary").parquet(f"{path}/manifest")
-    return manifest.join(_roots(spark, path).withColumnRenamed("root", "found"), "file", "left").where("found is null or root <> found")
+    return manifest.join(_roots(spark, path).withColumnRenamed("root", "found"), "file", "full").where("found is null or root is null or root <> found")
 
 
 def _shift_tables(bits: int) -> np.ndarray:
@@ -198,7 +202,9 @@ def crc_shift(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files; an error if recipes and manifest disagree."""
+    if bad := verify_store(spark, path).select("file").take(10):
+        raise ValueError(f"recipes of files {[r['file'] for r in bad]} don't agree with the manifest")
     objects = spark.read.schema(OBJECTS).parquet(f"{path}/objects").where("kind = 'chunk'").select("key", "n", "payload")
 
     def checked(batches):
