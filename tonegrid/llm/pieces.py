@@ -1,18 +1,18 @@
-"""Byte-level BPE by pieces: a text is cut at single spaces between two visible characters, where every
-pre-token ends, and each distinct piece is encoded once per worker.
+"""Byte-level BPE. Pieces: a text is cut at single spaces between two visible characters, where every
+pre-token ends, and each distinct piece is numbered once. FileEncoder: ids of whole texts for a tokenizers file.
 
 The cut never changes the ids: no match of the pre-tokenisation pattern crosses such a space to its left."""
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
-from itertools import accumulate, repeat
+from itertools import accumulate, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 from .common import ragged
 
@@ -110,38 +110,63 @@ def bytes_as_characters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
-class FileEncoder(Pieces):
-    """ids of texts as the tokenizers library gives them for a byte-level BPE file, without special tokens."""
-
-    def __init__(self, path: str, limit: int = 400_000):
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Token bytes and ids of a tokenizers file, if ids alone decide what is merged: a plain byte-level BPE whose merges stand in
+    the order of their ids, one for each longer token, and whose tokens are all found again when they are encoded. In such a file the
+    lowest pair to merge is the pair with the lowest id, so a rank encoder gives the same ids. None for any other file."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, cut = told["model"], told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    if not plain or not level or told.get("normalizer"):
+        return None
+    vocabulary, back = model["vocab"], {c: b for b, c in bytes_as_characters().items()}
+    merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if any(not set(t) <= set(back) for t in vocabulary) or len(set(merged)) != len(merged) or merged != sorted(merged) or len(vocabulary) != 256 + len(merged) or -1 in merged:
+        return None
+    encode = Tokenizer.from_file(path).model.tokenize
+    if any([x.id for x in encode(t)] != [i] for t, i in vocabulary.items()):
+        return None
+    return {bytes(back[c] for c in t): i for t, i in vocabulary.items()}
+
+
+class FileEncoder:
+    """ids of texts as the tokenizers library gives them for a file, without special tokens. Where byte_ranks() holds, whole texts go
+    to a rank encoder; pieces with characters that Unicode versions class differently, and other files, go to the library itself."""
+
+    def __init__(self, path: str):
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.model, self.cut, self.signs = self.whole.model, regex.compile(public_tokenizers.PATTERN).findall, bytes_as_characters()
-        # Two generations of words: when the newer is full it becomes the older, so words in use are never lost.
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        super().__init__(self._ids, limit)
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= self.limit // 4:
-                self.older, self.words = self.words, {}
-            ids = self.words[word] = self.older.get(word) or array("i", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))]).tobytes()
-        return ids
-
-    def _ids(self, piece: str) -> bytes:
-        if not piece.isascii() and max(piece) >= SETTLED:
-            return array("i", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
-        # Letters alone, with or without the space before them, are one match; a stop or comma after them is another.
-        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return self._word(piece)
-        if piece[-1:] in (".", ",") and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return self._word(piece[:-1]) + self._word(piece[-1])
-        return b"".join(map(self._word, self.cut(piece)))
+        ranks = byte_ranks(path)
+        self.ranked = ranks and tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _library(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def one(self, text: str) -> list[int]:
+        if not self.ranked:
+            return self._library(text)
+        if text.isascii() or max(text) < SETTLED:
+            return self.ranked(text)
+        first, *rest = CUT.split(text)
+        runs = groupby([first, *(f" {p}" for p in rest)], lambda p: max(p) < SETTLED)
+        return [i for settled, run in runs for i in (self.ranked if settled else self._library)("".join(run))]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets (one more than texts) and ids of all texts; a null counts as an empty text."""
+        ends, ids = [0], array("i")
+        for t in texts.to_pylist():
+            if t:
+                ids.extend(array("i", self.one(t)))
+            ends.append(len(ids))
+        return np.array(ends, np.int64), np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)
 
 
 _encoders: dict[str, FileEncoder] = {}

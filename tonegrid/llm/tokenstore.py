@@ -18,6 +18,7 @@ first. A null doc_id comes first. Empty table: empty files. Other columns are ig
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import zlib
@@ -164,6 +165,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     return manifest.join(_roots(spark, path).withColumnRenamed("root", "found"), "file", "full").where("found is null or root is null or root <> found")
 
 
+@functools.cache
 def _shift_tables(bits: int) -> np.ndarray:
     """[k, byte, value]: the crc32 register's part after 2 ** k zero bytes, by table lookup."""
     poly = 0xEDB88320  # fixed value: the reflected polynomial of zlib's crc32
