@@ -381,7 +381,47 @@ def test_secret_tokens_with_few_digits(spark):
     model.calibrate([w for w, _ in test], np.array([y for _, y in test]), 0.99)
     signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     texts = ["some words stand before it here: and key " + "".join(rng.choice(signs) for _ in range(36)) + "7 and some words behind" for _ in range(100)]
-    assert np.mean([len(spans) for _, spans in secrets.all_spans(texts, model)]) > 0.8
+    assert np.mean([len(spans) for _, spans, _ in secrets.all_spans(texts, model)]) > 0.8
+
+
+def test_secret_gradients_are_those_of_the_loss():
+    model, rng = secrets.CharCnn(), np.random.default_rng(1)
+    x = np.frombuffer(b"".join(w for w, _ in secrets.made_up(12)), np.uint8).reshape(-1, secrets.LENGTH)
+    labels = np.arange(12) % 2
+
+    def loss():
+        z = model._forward(x)[4]
+        return float(np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - labels * z))
+
+    grads = model.gradients(x, labels)
+    for name, weights in model.p.items():
+        flat, own = weights.reshape(-1), grads[name].reshape(-1)
+        places = np.unique(np.concatenate([np.argsort(np.abs(own))[-5:], rng.integers(0, len(flat), 5)]))
+        for i in places:
+            before = flat[i]
+            flat[i] = before + 1e-6
+            high = loss()
+            flat[i] = before - 1e-6
+            low = loss()
+            flat[i] = before
+            assert abs((high - low) / 2e-6 - own[i]) < 1e-6 + 1e-3 * abs(own[i])
+
+
+def test_secret_network_scores_all_and_adds_what_no_pattern_finds(spark):
+    rng = random.Random(7)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    prose = "and then they went to see what had become of it in the end"
+    rows = [(i, f"{prose} {key(36)} {prose} password: {key(20)} {prose}") for i in range(60)] + [(100 + i, prose) for i in range(60)]
+    model = secrets.train(cases.documents(spark, rows))
+    assert model.held_out["findings"] > 600 and model.held_out["recall"] > 0.96 and model.held_out["false_share"] < 0.1
+    found = {r["doc_id"]: r for r in secrets.scan(cases.documents(spark, rows), model).collect()}
+    added = [any(s.startswith("model:") for s in found[i]["spans"].split(",")) for i in range(60)]
+    assert np.mean(added) > 0.9
+    for i in range(60):
+        spans = found[i]["spans"].split(",")
+        assert len(spans) == len(found[i]["chances"]) and found[i]["base"] in spans and found[i]["n_assign"] == 1
+        assert all(0 <= p <= 1 and (p >= model.threshold or not s.startswith("model")) for s, p in zip(spans, found[i]["chances"]))
+    assert all(found[100 + i]["spans"] == "" and found[100 + i]["chances"] == [] for i in range(60))
 
 
 class FixedModel:
@@ -394,14 +434,14 @@ class FixedModel:
 
 
 def test_secret_threshold_has_no_floor():
-    assert secrets.all_spans(["see abcdefghMARKabcdefgh now", "see abcdefghabcdefghabcd now"], FixedModel()) == [([], [("model", 4, 24)]), ([], [])]
+    assert secrets.all_spans(["see abcdefghMARKabcdefgh now", "see abcdefghabcdefghabcd now"], FixedModel()) == [([], [("model", 4, 24)], [0.4]), ([], [], [])]
 
 
 @pytest.mark.parametrize("before", [0, 17, 36, 37, 40, 79, 150])
 @pytest.mark.parametrize("behind", [0, 1, 30, 300])
 def test_secret_windows_cover_long_tokens(before, behind):
     token = "x" * (16 + before) + "MARK" + "y" * behind
-    assert secrets.all_spans(["see " + "z" * 60 + " or " + token + " now"], FixedModel()) == [([], [("model", 68, 68 + len(token))])]
+    assert secrets.all_spans(["see " + "z" * 60 + " or " + token + " now"], FixedModel()) == [([], [("model", 68, 68 + len(token))], [0.4])]
 
 
 def check_packing(rows, docs_ids, size):

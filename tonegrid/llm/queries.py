@@ -41,8 +41,8 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove_lines(_documents(spark, sf_dir), counts=True)
-    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("text"), 256).alias("text_sha256"))
+    found = lines.remove_lines(_documents(spark, sf_dir), counts=True, long_words=50)
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_shared", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
 OP6_SQL = """
@@ -51,13 +51,18 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE
      w AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l),
      r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, pos) AS copy FROM w
            WHERE nxt IS NOT NULL AND regexp_matches(line || nxt, '[^ \t\r\n]')),
-     g AS (SELECT doc_id, pos FROM r WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM r WHERE copy > 1),
+     s AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS copy FROM l
+           WHERE len(regexp_extract_all(line, '[^ \t\r]+')) >= 50),
+     g AS (SELECT doc_id, pos FROM r WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM r WHERE copy > 1 UNION SELECT doc_id, pos FROM s WHERE copy > 1),
      m AS (SELECT l.doc_id, l.line, l.pos, g.pos IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos),
-     e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM m)
-SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (begins) AS BIGINT) AS n_runs,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
-FROM e GROUP BY doc_id
-UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
+     e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM m),
+     p AS (SELECT 1 << k AS n FROM (SELECT unnest(range(0, 30)) AS k)),
+     h AS (SELECT d.doc_id, p.n, md5(array_to_string(d.ls[l.pos : l.pos + p.n - 1], chr(10))) AS run FROM d JOIN l ON d.doc_id = l.doc_id JOIN p ON l.pos + p.n - 1 <= len(d.ls)),
+     t AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, n, count(*) OVER (PARTITION BY n, run) AS places FROM h) WHERE places > 1 GROUP BY doc_id),
+     o AS (SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (begins) AS BIGINT) AS n_runs,
+                  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256 FROM e GROUP BY doc_id)
+SELECT o.doc_id, n_lines, n_removed, n_runs, CAST(coalesce(longest, 0) AS BIGINT) AS longest_shared, text_sha256 FROM o LEFT JOIN t ON o.doc_id = t.doc_id
+UNION ALL SELECT doc_id, 0, 0, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
@@ -73,7 +78,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = secrets.scan(docs, secrets.train(docs))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", F.transform("chances", lambda p: F.round(p, 6)).alias("chances"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
