@@ -58,11 +58,3 @@ def likely_pairs(words: DataFrame, id_column: str, keep_bits: int = 16, block: i
     y = dealt.select("key", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"))
     pairs = x.join(y, ["key", "lo", "hi"]).where("lo < hi or x < y")
     return pairs.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).distinct()
-
-
-def bucket_heads(words: DataFrame, id_column: str, keep_bits: int = 16) -> DataFrame:
-    """a_id < b_id: each recording with the smallest one of every bucket of equal lower bits it is in. Fewer than likely_pairs(), whose
-    pairs behind a bucket's smallest aren't among these."""
-    keyed = words.select(id_column, F.col("word").bitwiseAND((1 << keep_bits) - 1).alias("key")).distinct()
-    heads = keyed.groupBy("key").agg(F.min(id_column).alias("a_id"))
-    return keyed.join(heads, "key").where(F.col(id_column) != F.col("a_id")).select("a_id", F.col(id_column).alias("b_id")).distinct()

@@ -1,76 +1,20 @@
-"""Comparing fingerprints: words made of event ids stand for recordings. The first seven queries read a dozen words of each of fifty, as
-their SQL states; whole_... read all events, a recording for each user, and compare without a cut."""
+"""Comparing fingerprints: words made of event ids stand for recordings, one for each user, with all of its events. Pairs are compared from
+stated lists: each recording with the next, or each query recording (ids divisible by 20) with all others."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 
-_MIX = "(CAST(event_id AS BIGINT) * 2654435761) % 4294967296"
-_ROWS_SQL = f"w AS (SELECT user_id % 50 AS rec, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS pos, {_MIX} AS word FROM events), r AS (SELECT * FROM w WHERE pos < 12)"
-_DIFF = "bit_count(xor(a.word, b.word))"
-
-
-def _words(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rec = F.col("user_id") % 50
-    pos = F.row_number().over(Window.partitionBy(rec).orderBy("event_id")) - 1
-    return e.select(rec.alias("rec"), pos.alias("pos"), (F.col("event_id") * 2654435761 % (1 << 32)).alias("word")).where("pos < 12")
-
-
-def _arrays(spark, sf_dir):
-    return _words(spark, sf_dir).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("x")).select("rec", F.col("x.word").alias("words"))
-
-
-def _pairs(spark, sf_dir):
-    """Each recording with the next: a stated list of pairs."""
-    a = _arrays(spark, sf_dir)
-    return a.select(F.col("rec").alias("a_id"), F.col("words").alias("a"), (F.col("rec") + 1).alias("b_id")).join(a.select(F.col("rec").alias("b_id"), F.col("words").alias("b")), "b_id")
-
-
-def popcount(spark, sf_dir):
-    return _words(spark, sf_dir).select("rec", "pos", F.bit_count("word").cast("int").alias("bits"))
-
-
-def similarity(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("a_id", "b_id", F.round(sim.similarity(F.col("a"), F.col("b")), 12).alias("similarity"))
-
-
-def offset_similarity(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("a_id", "b_id", F.round(sim.offset_similarity(F.col("a"), F.col("b"), 4), 12).alias("similarity"))
-
-
-def similarity_join(spark, sf_dir):
-    w = _words(spark, sf_dir)
-    return sim.similarity_join(w.where("rec < 10"), w.where("rec >= 40"), "rec", "rec").withColumn("similarity", F.round("similarity", 12))
-
-
-def shift_search(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).select("a_id", "b_id")
-    return sim.shift_search(pairs, _words(spark, sf_dir), "rec", 4).withColumn("similarity", F.round("similarity", 12))
-
-
-def top_pairs(spark, sf_dir):
-    """Each recording's three most similar among the first ten, by similarity, then id."""
-    from pyspark.sql import Window
-
-    found = similarity_join(spark, sf_dir)
-    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id"))
-    return found.withColumn("rank", rank).where("rank <= 3")
-
-
-def likely_pairs(spark, sf_dir):
-    """Recordings with the smallest of each bucket of equal low bits."""
-    return sim.bucket_heads(_words(spark, sf_dir).withColumn("word", F.col("word") % 64), "rec", 6)
+#: Recordings whose id is divisible by this one are the queries of a search among all.
+QUERY = 20
+TOP = 3
 
 
 def _recordings(spark, sf_dir):
     """Every event: a user's events are a recording, in the order of event_id."""
-    from pyspark.sql import Window
-
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null and event_id is not null")
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     return e.select(F.col("user_id").alias("rec"), pos.alias("pos"), (F.col("event_id") * 2654435761 % (1 << 32)).alias("word"))
@@ -82,86 +26,60 @@ def _neighbours(spark, sf_dir):
     return a.select(F.col("rec").alias("a_id"), F.col("words").alias("a"), (F.col("rec") + 1).alias("b_id")).join(a.select(F.col("rec").alias("b_id"), F.col("words").alias("b")), "b_id")
 
 
-def whole_popcount(spark, sf_dir):
+def popcount(spark, sf_dir):
     return _recordings(spark, sf_dir).select("rec", "pos", F.bit_count("word").cast("int").alias("bits"))
 
 
-def whole_similarity(spark, sf_dir):
+def similarity(spark, sf_dir):
     return _neighbours(spark, sf_dir).select("a_id", "b_id", F.round(sim.similarity(F.col("a"), F.col("b")), 12).alias("similarity"))
 
 
-def whole_offset_similarity(spark, sf_dir):
+def offset_similarity(spark, sf_dir):
     return _neighbours(spark, sf_dir).select("a_id", "b_id", F.round(sim.offset_similarity(F.col("a"), F.col("b")), 12).alias("similarity"))
 
 
-def whole_similarity_join(spark, sf_dir):
-    """Every ordered pair of different recordings: as many rows as the square of their number."""
+def similarity_join(spark, sf_dir):
+    """Each query recording with every other one."""
     w = _recordings(spark, sf_dir)
-    return sim.similarity_join(w, w, "rec", "rec").where("a_id <> b_id").withColumn("similarity", F.round("similarity", 12))
+    found = sim.similarity_join(w.where(f"rec % {QUERY} = 0"), w, "rec", "rec")
+    return found.where("a_id <> b_id").withColumn("similarity", F.round("similarity", 12))
 
 
-def whole_shift_search(spark, sf_dir):
+def shift_search(spark, sf_dir):
     pairs = _neighbours(spark, sf_dir).select("a_id", "b_id")
     return sim.shift_search(pairs, _recordings(spark, sf_dir), "rec").withColumn("similarity", F.round("similarity", 12))
 
 
-def whole_top_pairs(spark, sf_dir):
-    """Each recording's three most similar among all others, by similarity, then id."""
-    from pyspark.sql import Window
-
+def top_pairs(spark, sf_dir):
+    """Each query recording's three most similar among all others, by similarity, then id."""
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id"))
-    return whole_similarity_join(spark, sf_dir).withColumn("rank", rank).where("rank <= 3")
+    return similarity_join(spark, sf_dir).withColumn("rank", rank).where(f"rank <= {TOP}")
 
 
-def whole_likely_pairs(spark, sf_dir):
+def likely_pairs(spark, sf_dir):
     """All pairs of recordings that share the low nine bits of a word."""
     return sim.likely_pairs(_recordings(spark, sf_dir), "rec", 9)
 
 
 def queries() -> dict:
-    cut = (popcount, similarity, offset_similarity, similarity_join, shift_search, top_pairs, likely_pairs)
-    whole = (whole_popcount, whole_similarity, whole_offset_similarity, whole_similarity_join, whole_shift_search, whole_top_pairs, whole_likely_pairs)
-    return {f.__name__: f for f in cut + whole}
-
+    return {f.__name__: f for f in (popcount, similarity, offset_similarity, similarity_join, shift_search, top_pairs, likely_pairs)}
 
-_JOIN_SQL = f"SELECT a.rec AS a_id, b.rec AS b_id, round(1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE), 12) AS similarity FROM r AS a JOIN r AS b ON a.pos = b.pos WHERE a.rec < 10 AND b.rec >= 40 GROUP BY a.rec, b.rec"
 
-
-def _shift_sql() -> str:
-    return f"""WITH {_ROWS_SQL}, s AS (SELECT unnest(range(-4, 5)) AS s),
-e AS (SELECT a.rec AS a_id, b.rec AS b_id, s, 1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE) AS v FROM r AS a JOIN s ON true JOIN r AS b ON b.rec = a.rec + 1 AND b.pos = a.pos + s GROUP BY ALL)
+_ROWS_SQL = "r AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, (CAST(event_id AS BIGINT) * 2654435761) % 4294967296 AS word FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL)"
+_VALUE_SQL = "1 - sum(bit_count(xor(a.word, b.word))) / (count(*) * 32.0::DOUBLE)"
+_JOIN_SQL = f"SELECT a.rec AS a_id, b.rec AS b_id, round({_VALUE_SQL}, 12) AS similarity FROM r AS a JOIN r AS b ON a.pos = b.pos AND a.rec <> b.rec WHERE a.rec % {QUERY} = 0 GROUP BY a.rec, b.rec"
+_SHIFT_SQL = f"""WITH {_ROWS_SQL}, s AS (SELECT unnest(range(-64, 65)) AS s),
+e AS (SELECT a.rec AS a_id, b.rec AS b_id, s, {_VALUE_SQL} AS v FROM r AS a JOIN s ON true JOIN r AS b ON b.rec = a.rec + 1 AND b.pos = a.pos + s GROUP BY ALL)
 SELECT a_id, b_id, round(max(v), 12) AS similarity FROM e GROUP BY a_id, b_id"""
 
 
-_WHOLE_SQL = f"r AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, {_MIX} AS word FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL)"
-_ALL_SQL = f"SELECT a.rec AS a_id, b.rec AS b_id, round(1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE), 12) AS similarity FROM r AS a JOIN r AS b ON a.pos = b.pos AND a.rec <> b.rec GROUP BY a.rec, b.rec"
-
-
-def _whole_shift_sql() -> str:
-    return f"""WITH {_WHOLE_SQL}, s AS (SELECT unnest(range(-64, 65)) AS s),
-e AS (SELECT a.rec AS a_id, b.rec AS b_id, s, 1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE) AS v FROM r AS a JOIN s ON true JOIN r AS b ON b.rec = a.rec + 1 AND b.pos = a.pos + s GROUP BY ALL)
-SELECT a_id, b_id, round(max(v), 12) AS similarity FROM e GROUP BY a_id, b_id"""
-
-
-def _whole_sql() -> dict[str, str]:
-    return {
-        "whole_popcount": f"WITH {_WHOLE_SQL} SELECT rec, CAST(pos AS INTEGER) AS pos, CAST(bit_count(word) AS INTEGER) AS bits FROM r",
-        "whole_similarity": f"WITH {_WHOLE_SQL} SELECT a.rec AS a_id, b.rec AS b_id, round(1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE), 12) AS similarity FROM r AS a JOIN r AS b ON b.rec = a.rec + 1 AND a.pos = b.pos GROUP BY a.rec, b.rec",
-        "whole_offset_similarity": _whole_shift_sql(),
-        "whole_shift_search": _whole_shift_sql(),
-        "whole_similarity_join": f"WITH {_WHOLE_SQL} {_ALL_SQL}",
-        "whole_top_pairs": f"WITH {_WHOLE_SQL}, j AS ({_ALL_SQL}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS INTEGER) AS rank FROM j) SELECT * FROM k WHERE rank <= 3",
-        "whole_likely_pairs": f"WITH {_WHOLE_SQL}, k AS (SELECT DISTINCT rec, word % 512 AS key FROM r) SELECT DISTINCT a.rec AS a_id, b.rec AS b_id FROM k AS a JOIN k AS b ON a.key = b.key AND a.rec < b.rec",
-    }
-
-
 def oracle_sql() -> dict[str, str]:
-    return _whole_sql() | {
+    return {
         "popcount": f"WITH {_ROWS_SQL} SELECT rec, CAST(pos AS INTEGER) AS pos, CAST(bit_count(word) AS INTEGER) AS bits FROM r",
-        "similarity": f"WITH {_ROWS_SQL} SELECT a.rec AS a_id, b.rec AS b_id, round(1 - sum({_DIFF}) / (count(*) * 32.0::DOUBLE), 12) AS similarity FROM r AS a JOIN r AS b ON b.rec = a.rec + 1 AND a.pos = b.pos GROUP BY a.rec, b.rec",
-        "offset_similarity": _shift_sql(),
-        "shift_search": _shift_sql(),
+        "similarity": f"WITH {_ROWS_SQL} SELECT a.rec AS a_id, b.rec AS b_id, round({_VALUE_SQL}, 12) AS similarity FROM r AS a JOIN r AS b ON b.rec = a.rec + 1 AND a.pos = b.pos GROUP BY a.rec, b.rec",
+        "offset_similarity": _SHIFT_SQL,
+        "shift_search": _SHIFT_SQL,
         "similarity_join": f"WITH {_ROWS_SQL} {_JOIN_SQL}",
-        "top_pairs": f"WITH {_ROWS_SQL}, j AS ({_JOIN_SQL}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS INTEGER) AS rank FROM j) SELECT * FROM k WHERE rank <= 3",
-        "likely_pairs": f"WITH {_ROWS_SQL}, k AS (SELECT DISTINCT rec, word % 64 AS key FROM r), c AS (SELECT min(rec) OVER (PARTITION BY key) AS a_id, rec AS b_id FROM k) SELECT DISTINCT a_id, b_id FROM c WHERE a_id <> b_id",
+        "top_pairs": f"WITH {_ROWS_SQL}, j AS ({_JOIN_SQL}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS INTEGER) AS rank FROM j) SELECT * FROM k WHERE rank <= {TOP}",
+        "likely_pairs": f"WITH {_ROWS_SQL}, k AS (SELECT DISTINCT rec, word % 512 AS key FROM r) SELECT DISTINCT a.rec AS a_id, b.rec AS b_id FROM k AS a JOIN k AS b ON a.key = b.key AND a.rec < b.rec",
     }
