@@ -144,7 +144,7 @@ def test_bits_round_trip(values):
 def test_rice_round_trip(codes, k):
     w = BitWriter()
     w.put(5, 3)
-    w.put_bits(rice_bits(np.array(codes, np.int64), k))
+    w.put_bits(rice_bits(np.array(codes, np.int64), [len(codes)], [k], 0))
     w.align()
     r = BitReader(w.to_bytes())
     assert r.read(3) == 5 and r.rice(len(codes), k).tolist() == codes

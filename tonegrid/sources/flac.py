@@ -229,26 +229,30 @@ def _put_number(w: BitWriter, value: int) -> None:
         w.put(0x80 | value >> (6 * e) & 0x3F, 8)
 
 
-def best_parameter(codes: np.ndarray) -> tuple[int, int]:
-    """The Rice parameter (0 to 14) with the fewest bits for these codes, the smaller of equals, and those bits with the parameter's own."""
-    costs = [int((codes >> k).sum()) + len(codes) * (1 + k) + 4 for k in range(15)]
-    k = int(np.argmin(costs))
-    return k, costs[k]
-
-
-def plan_residual(residual: np.ndarray, n: int, order: int) -> tuple[int, int, list[int]]:
-    """Bits, partition order (0 to 6) and Rice parameters of the cheapest coding."""
-    codes = residual << 1 ^ residual >> 63
-    best: tuple = (None, 0, [])
-    for p in range(7):
-        size = n >> p
-        if size << p != n or size <= order:
-            break
-        edges = [0, *range(size - order, n - order + 1, size)]
-        found = [best_parameter(codes[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-        bits = 6 + sum(c for _, c in found)
-        if best[0] is None or bits < best[0]:
-            best = (bits, p, [k for k, _ in found])
+def plan_residuals(residuals: np.ndarray, bits: int) -> tuple[int, int, int, list[int]]:
+    """Bits, order, partition order (0 to 6) and Rice parameters (0 to 14) of the cheapest coding; the smaller of equals. residuals has a
+    row of n numbers for each order, with zeros in place of the first ones, so that partitions lie alike in all rows."""
+    orders, n = residuals.shape
+    codes = residuals << 1 ^ residuals >> 63
+    most = next(p for p in range(6, -1, -1) if n % (1 << p) == 0)
+    sums = np.empty((15, orders, 1 << most), np.int64)
+    thin = codes.astype(np.int32) if codes.max(initial=0) < 1 << 31 else codes
+    for k in range(15):
+        sums[k] = thin.reshape(orders, 1 << most, -1).sum(2, dtype=np.int64)
+        thin = thin >> 1
+    k, order = np.arange(15)[:, None, None], np.arange(orders)
+    best: tuple = (n * bits + 1, 0, 0, [])
+    for p in range(most, -1, -1):
+        counts = np.full((orders, 1 << p), n >> p)
+        counts[:, 0] -= order
+        costs = sums + counts * (1 + k) + 4
+        totals = np.where(n >> p > order, costs.min(0).sum(1) + 6 + order * bits, np.iinfo(np.int64).max)
+        own = int(totals.argmin())
+        if totals[own] <= best[0]:
+            found = int(totals[own]), own, p, costs[:, own].argmin(0).tolist()
+            if found[0] < best[0] or own <= best[1]:
+                best = found
+        sums = sums[:, :, 0::2] + sums[:, :, 1::2] if p else sums
     return best
 
 
@@ -258,27 +262,22 @@ def _put_subframe(w: BitWriter, x: np.ndarray, bits: int) -> None:
         w.put(0, 8)
         w.put_signed(int(x[0]), bits)
         return
-    cost, choice = n * bits, None
-    for order in range(min(5, n)):
-        residual = np.diff(x, order)
-        plan = plan_residual(residual, n, order)
-        if plan[0] is not None and order * bits + plan[0] < cost:
-            cost, choice = order * bits + plan[0], (order, residual, plan)
-    if choice is None:
+    residuals = np.zeros((min(5, n), n), np.int64)
+    for order in range(len(residuals)):
+        residuals[order, order:] = np.diff(residuals[order - 1, order - 1 :]) if order else x
+    cost, order, p, parameters = plan_residuals(residuals, bits)
+    if cost >= n * bits:
         w.put(1 << 1, 8)
         w.put_many(x, bits)
         return
-    order, residual, (_, p, parameters) = choice
     w.put((8 + order) << 1, 8)
     w.put_many(x[:order], bits)
     w.put(0, 2)
     w.put(p, 4)
-    codes, at, size = residual << 1 ^ residual >> 63, 0, n >> p
-    for i, k in enumerate(parameters):
-        count = size - (order if i == 0 else 0)
-        w.put(k, 4)
-        w.put_bits(rice_bits(codes[at : at + count], k))
-        at += count
+    own = residuals[order, order:]
+    sizes = [n >> p] * (1 << p)
+    sizes[0] -= order
+    w.put_bits(rice_bits(own << 1 ^ own >> 63, sizes, parameters, 4))
 
 
 def write_flac(samples: np.ndarray, rate: int, channels: int, bits: int = 16) -> bytes:
