@@ -3,25 +3,29 @@
 Pre-tokens are counted off within blocks of documents (an input partition, or part of a large one): a block names each of
 its distinct words once, and a document is the list of its words' numbers, by position. The words of all blocks meet,
 sorted, so that each distinct word is encoded once; its ids go back to the blocks that named it, where documents are
-put together by position. Decoding looks each id up in the token-byte table, which has as many rows as the vocabulary.
+put together by position. Decoding joins the token-byte table, which has as many rows as the vocabulary: decode() as a broadcast join
+of ids by position; encode() within its blocks, once for each distinct word.
 
-The documents pass twice, once for their words and once for their positions, so that neither is shuffled with the other; a
-digest of each block's words makes sure that both passes saw the same block.
+The documents pass twice, once for their words and once for their positions, so that neither is shuffled with the other. The second pass
+carries a digest of each block's words; the words decoded from the ids that came back must give the same one, else the block is an error.
 
-Null text: empty, no ids. Repeated rows: encoded each. Null doc_id: kept. Empty table: no rows. Other columns are ignored."""
+Null text: empty, no ids. Repeated rows: encoded each. Null doc_id: kept. Very long texts: one block, in one task. Empty table: no rows.
+Other columns are ignored."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import arrow, parts, partition_id, ragged, text_bytes, texts
+from .common import arrow, parts, partition_id, ragged, stored, text_bytes, texts
 from .pieces import SETTLED, Pieces
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -89,16 +93,21 @@ def encode_ids(docs: DataFrame, rank_path: str, pattern: str, block_bytes: int =
     return _joined(docs, rank_path, pattern, block_bytes, _whole, "doc_id long, ids array<int>, decoded binary")
 
 
-def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
-    """doc_id and text bytes of rows with doc_id and ids, by the token-byte table."""
+def token_bytes(spark: SparkSession, rank_path: str) -> DataFrame:
+    """The token-byte table: id and token, a row for each entry of the vocabulary."""
+    table = ranks(rank_path)
+    return spark.createDataFrame(pa.table({"id": pa.array(table.values(), pa.int32()), "token": pa.array(table.keys(), pa.binary())}))
 
-    def run(batches):
-        table = _token_bytes(rank_path)
-        for batch in batches:
-            rows = [b"".join(map(table.__getitem__, ids or ())) for ids in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
+    """doc_id and text bytes of rows with doc_id and ids, in any order: ids join the token-byte table and are put together by position. Ids
+    that the table doesn't have give nothing; a null list of ids is an empty text. Equal rows are decoded each."""
+    rows = encoded.select("doc_id", "ids").withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, "ids")  # the ids of rows must be the same on both sides of the join below
+    spread = rows.select("row", F.posexplode("ids").alias("pos", "id"))
+    joined = spread.join(F.broadcast(token_bytes(encoded.sparkSession, rank_path)), "id")
+    whole = joined.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).select("row", F.unhex(F.array_join(F.transform("x.token", F.hex), "")).alias("decoded"))
+    return rows.select("doc_id", "row").join(whole, "row", "left").select("doc_id", F.coalesce("decoded", F.lit(b"")).alias("decoded"))
 
 
 _tables: dict[str, list[bytes]] = {}
@@ -111,26 +120,24 @@ def _token_bytes(path: str) -> list[bytes]:
     return _tables[path]
 
 
-def _digests(doc_ids, ends, starts, flat, numbers, table) -> pa.RecordBatch:
+def _digests(doc_ids, ends, starts, flat, numbers, words) -> pa.RecordBatch:
     word_ids = np.split(flat, starts[1:-1]) if len(starts) > 2 else [flat]
     # Each word's ids as decimal text with a comma after each: written once for each word of the block.
     text = [("," .join(map(str, ids)) + ",").encode() if len(ids) else b"" for ids in (w.tolist() for w in word_ids)]
-    lengths = np.diff(starts)
+    counts = np.concatenate([[0], np.cumsum(np.diff(starts)[numbers])])[ends] if len(numbers) else np.zeros(len(ends), np.int64)
     rows = []
     for a, b in zip(ends[:-1], ends[1:]):
-        own = numbers[a:b]
-        joined = b"".join(map(text.__getitem__, own.tolist()))
-        ids = flat[ragged(starts[own], lengths[own])]
-        decoded = b"".join(map(table.__getitem__, ids.tolist()))
-        rows.append((len(ids), hashlib.sha256(joined[:-1]).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        own = numbers[a:b].tolist()
+        joined = b"".join(map(text.__getitem__, own))
+        rows.append((hashlib.sha256(joined[:-1]).hexdigest(), hashlib.sha256(b"".join(map(words.__getitem__, own))).hexdigest()))
     columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(counts), pa.int64()), pa.array(columns[0]), pa.array(columns[1])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _whole(doc_ids, ends, starts, flat, numbers, table) -> pa.RecordBatch:
+def _whole(doc_ids, ends, starts, flat, numbers, words) -> pa.RecordBatch:
     lengths = np.diff(starts)
     ids = [flat[ragged(starts[numbers[a:b]], lengths[numbers[a:b]])].astype(np.int32) for a, b in zip(ends[:-1], ends[1:])]
-    decoded = [b"".join(map(table.__getitem__, x.tolist())) for x in ids]
+    decoded = [b"".join(map(words.__getitem__, numbers[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
     return pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
 
@@ -200,13 +207,18 @@ def _joined(docs: DataFrame, rank_path: str, pattern: str, block_bytes: int, fin
         begins = np.cumsum(size) - size
         flat = ids[ragged(begins[order], size[order])]
         starts = np.concatenate([[0], np.cumsum(size[order])])
+        every = list(map(table.__getitem__, flat.tolist()))
+        words_ = [b"".join(every[a:b]) for a, b in pairwise(starts.tolist())]
+        if hashlib.blake2b(b"\0".join(words_), digest_size=16).digest() != doc["digest"]:
+            raise ValueError("the input gave other words when it was read again, or their ids don't decode to them")
         doc_ids = pa.array(np.frombuffer(doc["doc_ids"], "<i8"), mask=np.frombuffer(doc["nulls"], bool))
-        return pa.Table.from_batches([finish(doc_ids, ends, starts, flat, numbers, table)])
+        return pa.Table.from_batches([finish(doc_ids, ends, starts, flat, numbers, words_)])
 
-    n = parts(spark, total, 64 << 20)
+    n = parts(spark, total, 32 << 20)
     named = docs.mapInArrow(words, WORDS)
     answers = named.repartition(n, "word").sortWithinPartitions("word").mapInArrow(coded, CODED)
-    return docs.mapInArrow(placed, PLACED).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(together, schema)
+    by_block = lambda rows: rows.repartition(n, "block").groupBy("block")  # noqa: E731  as many tasks as the input needs
+    return by_block(docs.mapInArrow(placed, PLACED)).cogroup(by_block(answers)).applyInArrow(together, schema)
 
 
 def _thin(numbers: np.ndarray) -> bytes:

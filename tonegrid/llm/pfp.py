@@ -222,7 +222,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
     arrow(spark)
     docs = texts(docs)
     total = text_bytes(docs)
-    buckets = parts(spark, total, BUCKET_BYTES)
+    buckets, n = parts(spark, total, BUCKET_BYTES), parts(spark, total, 16 << 20)
+    dealt = lambda rows, key: rows.repartition(n, key).groupBy(key)  # noqa: E731  as many tasks as the input needs
 
     def ids(column: pa.Array) -> np.ndarray:
         return column.fill_null(NO_DOC).to_numpy().astype("<i8")
@@ -347,9 +348,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_B
 
     reply = "block long, digest long, keys binary, entries binary, masks binary"
     named = docs.mapInArrow(triggers, "bucket long, block long, digest long, once binary, often binary")
-    shared = named.groupBy("bucket").applyInArrow(common, reply)
+    shared = dealt(named, "bucket").applyInArrow(common, reply)
     packs = docs.mapInArrow(packed, "block long, doc_ids binary, ends binary, raw binary")
-    found = packs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(phrases, "bucket long, block long, entries binary, keys binary, counts binary, first binary, size long, raw binary")
-    answers = found.groupBy("bucket").applyInArrow(dictionary, reply)
+    found = dealt(packs, "block").cogroup(dealt(shared, "block")).applyInArrow(phrases, "bucket long, block long, entries binary, keys binary, counts binary, first binary, size long, raw binary")
+    answers = dealt(found, "bucket").applyInArrow(dictionary, reply)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts_too
-    return packs.groupBy("block").cogroup(shared.unionByName(answers).groupBy("block")).applyInArrow(finished, schema)
+    return dealt(packs, "block").cogroup(dealt(shared.unionByName(answers), "block")).applyInArrow(finished, schema)
