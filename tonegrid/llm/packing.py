@@ -2,10 +2,12 @@
 
 pack(): each input partition is one online packer. Documents longer than a window fill whole windows first;
 the rest goes to the fill level that leaves the smallest sum of squared counts of partially filled windows.
-Only open windows are held, by level; when the partition ends, the emptiest of them are cut up to fill the
-others, so that one window at most stays partly filled. Nothing is shuffled, and a lost task is simply run again.
+Only open windows are held, by level, and `most_open` of them at most (32 MB of ids with windows of 2048): beyond that, and when the
+partition ends, the emptiest of them are cut up to fill the fullest, at the end until one window at most stays partly filled. Nothing is
+shuffled, and a lost task is simply run again.
 
-Null text: empty, so only the end id. Repeated rows: packed each. Empty table: no rows. Other columns are ignored."""
+Null text: empty, so only the end id. Null doc_id: packed, and kept as null. Repeated rows: packed each. Ties: the fullest of the best
+levels. Very long texts: whole windows first, as they come. Empty table: no rows. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -21,11 +23,15 @@ from .pieces import file_encoder
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Open windows that a packer holds at most.
+MOST_OPEN = 4096
+
+
 class LevelPacker:
     """Online sum-of-squares packing. done: gets (window, pieces) for each full window; a piece is (key, start, ids)."""
 
-    def __init__(self, size: int, done):
-        self.size, self.done, self.windows = size, done, 0
+    def __init__(self, size: int, done, most_open: int = MOST_OPEN):
+        self.size, self.done, self.windows, self.most_open, self.held = size, done, 0, most_open, 0
         self.counts = np.zeros(size + 1, np.int64)  # the level array: open windows by fill
         self.open: list[list] = [[] for _ in range(size + 1)]
 
@@ -61,6 +67,7 @@ class LevelPacker:
         if level:
             self.counts[level] -= 1
             window, pieces = self.open[level].pop()
+            self.held -= 1
         else:
             window, pieces = self._new(), []
         pieces.append((key, start, ids))
@@ -72,12 +79,19 @@ class LevelPacker:
         else:
             self.counts[fill] += 1
             self.open[fill].append((window, pieces))
+            self.held += 1
+            if self.held > self.most_open:
+                self.settle(self.most_open // 2)
 
     def close(self) -> None:
-        """Fill the fullest open windows with what the emptiest hold, cut to fit."""
+        """Settle until one window at most is partly filled, and give that out, too."""
+        self.settle(0)
+
+    def settle(self, keep: int) -> None:
+        """Fill the fullest open windows with what the emptiest hold, cut to fit, until `keep` are left open; with 0 all are given out."""
         rest = [(fill, window, pieces) for fill in range(self.size - 1, 0, -1) for window, pieces in self.open[fill]]
         low, high = 0, len(rest) - 1
-        while low < high:
+        while low < high and high - low + 1 > keep:
             fill, window, pieces = rest[low]
             gap, (left, other, source) = self.size - fill, rest[high]
             key, start, ids = source[-1]
@@ -92,17 +106,21 @@ class LevelPacker:
                 low += 1
             if left == take:
                 high -= 1
+        self.counts[:], self.held = 0, 0
+        self.open = [[] for _ in range(self.size + 1)]
         for fill, window, pieces in rest[low : high + 1]:
-            if pieces and fill < self.size:
+            if pieces and keep:
+                self.counts[fill] += 1
+                self.open[fill].append((window, pieces))
+                self.held += 1
+            elif pieces:
                 self.done(window, pieces)
-        self.counts[:] = 0
-        self.open = [[] for _ in range(self.size + 1)]
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, most_open: int = MOST_OPEN) -> DataFrame:
     """A row for each piece of a document's ids (with end_id): where it starts there, its length and crc32, and its place in a window."""
-    if size < 1:
-        raise ValueError("size must be positive")
+    if size < 1 or most_open < 2:
+        raise ValueError("size must be positive, and most_open at least 2")
     arrow(docs.sparkSession)
 
     def run(batches):
@@ -120,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
             names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        packer = LevelPacker(size, done)
+        packer = LevelPacker(size, done, most_open)
         for batch in batches:
             ends, ids = encode(batch["text"])
             ids = ids.astype(np.int32)
