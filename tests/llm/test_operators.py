@@ -188,6 +188,33 @@ def test_media_members_are_tried_again_by_offset(spark, tmp_path):
     path.write_bytes(good[:-1] + bytes([good[-1] ^ 1]))
     with pytest.raises(ValueError):
         list(reader.read(part))
+    for cut in (media.HEAD.size - 1, len(good) - 1):  # a member cut short is tried as often as any other
+        path.write_bytes(good[:cut])
+        calls.clear()
+        reader._read = lambda f, offset: calls.append(offset) or plain(f, offset)
+        with pytest.raises(ValueError):
+            list(reader.read(part))
+        assert calls.count(calls[-1]) == 1 + reader.tries
+
+
+def test_media_by_an_independent_reading(spark):
+    """What is stored, taken apart by the format's definition alone."""
+    import struct
+
+    rows = [(1, "some text"), (2, ""), (3, None), (4, "é" * 100_000)]
+    found = {r["doc_id"]: r.asDict() for r in media.store_and_describe(cases.documents(spark, rows)).collect()}
+    for d, t in rows:
+        raw = (t or "").encode()
+        size = max(64, -(-len(raw) // 64) * 64)
+        payload = raw.ljust(size, b"\0")
+        png = media.encode_png(payload)
+        assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10]) and struct.unpack(">IIBBBBB", png[16:29]) == (64, size // 64, 8, 0, 0, 0, 0)
+        (length,) = struct.unpack(">I", png[33:37])
+        lines_ = zlib.decompress(png[41 : 41 + length])
+        assert b"".join(lines_[65 * i + 1 : 65 * i + 65] for i in range(size // 64)) == payload and set(lines_[::65]) == {0}
+        r = found[d]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest())
 
 
 @pytest.mark.parametrize("words", [2, 5])
@@ -299,6 +326,90 @@ def test_lines_of_the_cases_and_of_nothing(spark, docs, empty):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_lines_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "doc", "hash", "row", "runs", "lines", "pos", "a.b", "__doc", "longest", "Size"]
+    kinds = "long, string, string, string, int, string, double, long, string, string, string, int".split(", ")
+    rows = [(i, "same\ntwo lines" if i % 2 else f"own {i}", f"d{i}", "h", i, "r", 0.5 * i, i, "dot", "u", "l", -i) for i in range(8)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    found = lines.remove_lines(docs)
+    assert found.columns == names
+    want = [(r[0], "" if r[0] % 2 and r[0] > 1 else r[1], *r[2:]) for r in rows]
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_lines_of_a_very_long_text(spark):
+    own = [f"line {i}" for i in range(30_000)]
+    rows = [(1, "\n".join(own)), (2, "\n".join(["before", *own[100:29_000], "behind"])), (3, "x" * 5_000_000 + "\n" + "y" * 10)]
+    found = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"], r["longest_shared"]) for r in lines.remove_lines(cases.documents(spark, rows), counts=True).collect()}
+    assert found == {1: (rows[0][1], 0, 0, 16_384), 2: ("before\nbehind", 28_900, 1, 16_384), 3: (rows[2][1], 0, 0, 0)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffixes_are_in_order(spark, seed):
+    rng = random.Random(seed)
+    pool = ["line %d" % i for i in range(4)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.9 else f"own {rng.random()}" for _ in range(rng.randint(1, 9)))) for i in range(25)]
+    rows += [(100, rows[3][1]), (101, rows[3][1] + "\nmore"), (102, "\n".join(["line 1"] * 9)), rows[4]]
+    split = {d: t.split("\n") for d, t in rows}
+    suffixes = {(d, i): tuple(ls[i:]) for d, ls in split.items() for i in range(len(ls))}
+    firsts: dict = {}
+    for s in suffixes.values():
+        firsts[s[0]] = firsts.get(s[0], 0) + 1
+    found = {(r["doc"], r["pos"]): r for r in lines.order(cases.documents(spark, rows)).collect()}
+    assert set(found) == {p for p, s in suffixes.items() if firsts[s[0]] > 1}
+    ranked = sorted(found, key=lambda p: found[p]["rank"])
+    for x, y in zip(ranked, ranked[1:]):
+        assert (found[x]["rank"] == found[y]["rank"]) == (suffixes[x] == suffixes[y])
+    assert all(found[p]["rank"] == n for n, p in enumerate(ranked) if not n or found[ranked[n - 1]]["rank"] != found[p]["rank"])
+    for h in range(1, 10):  # what shares h lines lies together, so the order is that of some alphabet
+        runs = [suffixes[p][:h] for p in ranked if len(suffixes[p]) >= h]
+        assert sum(a != b for a, b in zip(runs, runs[1:])) + 1 == len(set(runs)) if runs else True
+    for p in found:
+        most = max(h for h in (1, 2, 4, 8) if h == 1 or len(suffixes[p]) >= h and sum(s[:h] == suffixes[p][:h] for s in suffixes.values()) > 1)
+        assert found[p]["shared"] == most
+
+
+def plain_ftrl(lists, labels, order, alpha=1.5, beta=1.0, l1=10.0):
+    """FTRL-proximal as its authors give it, a coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        x = z.get(i, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - (l1 if x > 0 else -l1)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha)
+
+    heavy = min(4.0, labels.count(0) / labels.count(1))
+    for row in order:
+        own = [*lists[row], "bias"]
+        p = 1 / (1 + np.exp(-sum(map(weight, own))))
+        g = (p - labels[row]) * (heavy if labels[row] else 1.0)
+        for i, w in [(i, weight(i)) for i in own]:
+            step = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+            z[i] = z.get(i, 0.0) + g - step * w
+            n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_toxicity_weights_are_those_of_plain_ftrl():
+    rng = random.Random(6)
+    labels = [int(rng.random() < 0.2) for _ in range(300)]
+    lists = [sorted(set(rng.sample(range(40), 6)) | ({50} if y else set())) for y in labels]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    got = toxicity.learned(ends, np.concatenate(lists), np.array(labels), np.arange(300), 6, 3)
+    fixed = np.random.default_rng(7)
+    want = plain_ftrl(lists, labels, [i for _ in range(3) for i in fixed.permutation(np.arange(300))])
+    assert got[50] > 1 and np.count_nonzero(got) < 41
+    assert all(abs(got[64 if i == "bias" else i] - w) < 1e-9 for i, w in want.items())
+
+
+def test_toxic_rows_go_whatever_the_columns(spark):
+    docs = spark.createDataFrame([(1, "calm words", 0.9, "x"), (2, "nasty", 0.1, "y"), (None, None, None, None)], "doc_id long, text string, score double, __toxicity string")
+    at = toxicity.features(__import__("pyarrow").array(["nasty"]))[1]
+    model = {"at": at, "weight": np.full(len(at), 9.0), "bias": -4.0, "share": None}
+    assert sorted(map(tuple, toxicity.below(docs, model, 0.3).collect()), key=str) == [(1, "calm words", 0.9, "x"), (None, None, None, None)]
+    with pytest.raises(ValueError):
+        toxicity.score(docs, model, keep="__toxicity")
+
+
 def test_toxicity_finds_what_labels_mark(spark, empty):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
@@ -495,6 +606,24 @@ def test_level_array_takes_the_smallest_sum_of_squares():
         p.add(0, np.zeros(n, np.int32))
 
 
+def test_open_windows_are_bounded():
+    out: list = []
+    p, rng, most = packing.LevelPacker(20, lambda w, pieces: out.append((w, pieces)), most_open=8), np.random.default_rng(3), 0
+    sizes = [11] * 500 + rng.integers(1, 45, 300).tolist()
+    for key, n in enumerate(sizes):
+        p.add(key, np.arange(n, dtype=np.int32))
+        most = max(most, p.held)
+        assert p.held == sum(map(len, p.open)) == p.counts.sum()
+    p.close()
+    assert most <= 8 and len(out) == -(-sum(sizes) // 20) and len({w for w, _ in out}) == len(out)
+    found: dict = {}
+    for _, pieces in out:
+        for key, start, ids in pieces:
+            assert ids.tolist() == list(range(start, start + len(ids)))
+            found.setdefault(key, []).extend(ids.tolist())
+    assert {k: sorted(v) for k, v in found.items()} == {k: list(range(n)) for k, n in enumerate(sizes)}
+
+
 def test_token_store(spark, empty, ids, tmp_path):
     rows = [(d, t) for d, t in {d: t for d, t in cases.texts() if d is not None}.items()]
     path = f"file://{tmp_path}/store"

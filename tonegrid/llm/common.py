@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import math
 import tempfile
 import uuid
@@ -9,20 +10,25 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to Python: texts of some hundred KB each still fit.
-BATCH_ROWS = 800
+#: Rows and bytes of an Arrow batch that goes to Python; a text beyond these bytes is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 800, 16 << 20
 #: Bytes of text that one block (a unit of work in Python) should hold.
 BLOCK_BYTES = 24 << 20
 
-_tables: list[tuple[SparkSession, str]] = []
-
 
 def arrow(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough for whole texts."""
+    """Keep Arrow batches small enough for whole texts, by rows and by bytes. The session keeps these settings: plans that are
+    run later read them then."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def column(name: str) -> Column:
+    """A column by its plain name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -31,22 +37,46 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode (as in tests), else an error."""
     conf = spark.sparkContext.getConf()
     if not (folder := conf.get("spark.checkpoint.dir")):
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             folder = jvm.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             folder = "file://" + tempfile.mkdtemp(prefix="tonegrid-")
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder.rstrip("/")
 
 
+class Scratch:
+    """Tables in the shared folder that operators make while this is entered. clear() deletes them: for the caller, once whatever was
+    computed from them has been consumed. Tables made outside of any stay until their folder is cleared."""
+
+    _entered: contextvars.ContextVar[tuple] = contextvars.ContextVar("entered", default=())
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scratch:
+        self._entered.set((*self._entered.get(), self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._entered.set(self._entered.get()[:-1])
+
+    def clear(self) -> None:
+        while self.tables:
+            delete(*self.tables.pop())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted by release()."""
+    """A new path in the shared folder; it belongs to the Scratch entered last."""
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    _tables.append((spark, path))
+    if entered := Scratch._entered.get():
+        entered[-1].tables.append((spark, path))
     return path
 
 
@@ -62,21 +92,6 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the table that stored() wrote, once nothing reads df any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for spark, known in list(_tables):
-            if known.split("/tables/")[1] in path:
-                delete(spark, known)
-                _tables.remove((spark, known))
-
-
-def release() -> None:
-    """Delete all tables made so far. Only for callers that have consumed every result."""
-    while _tables:
-        delete(*_tables.pop())
-
-
 def text_bytes(df: DataFrame) -> int:
     """Bytes of all texts: one scan, one row to the driver."""
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0

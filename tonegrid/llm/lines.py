@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import column, stored
 
 DOC = ["doc", "hash"]
 PLACE = [*DOC, "pos"]
@@ -39,7 +39,7 @@ ENDED = -(1 << 62)
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc, hash and text of each row, and the whole row as one struct."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc"), F.xxhash64(docs["text"]).alias("hash"), docs["text"].alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc"), F.xxhash64(docs["text"]).alias("hash"), docs["text"].alias("text"), F.struct(*map(column, docs.columns)).alias("row"))
 
 
 def _lines(docs: DataFrame, long_words: int | None) -> DataFrame:

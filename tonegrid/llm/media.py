@@ -167,7 +167,10 @@ class ArchiveReader(DataSourceReader):
     @staticmethod
     def _read(f, offset: int) -> tuple:
         f.seek(offset)
-        magic, null, doc_id, n, stored, crc = HEAD.unpack(f.read(HEAD.size))
+        head = f.read(HEAD.size)
+        if len(head) < HEAD.size:
+            raise ValueError(f"no whole member at {offset}")
+        magic, null, doc_id, n, stored, crc = HEAD.unpack(head)
         media = f.read(stored)
         if magic != MAGIC or zlib.crc32(media) != crc:
             raise ValueError(f"no whole member at {offset}")
@@ -185,7 +188,7 @@ class ArchiveReader(DataSourceReader):
             for offset in offsets.tolist():
                 try:
                     member = self._read(f, offset)
-                except (OSError, ValueError, struct.error):
+                except (OSError, ValueError):
                     member = self._member(system, root, partition.archive, offset)
                 rows.append((*member, partition.archive, offset))
                 held += len(member[2])

@@ -8,14 +8,14 @@ clean ones lie above; then all rows of the sample are learned from, at every siz
 score(): every whole text, by the same features, in Arrow batches; nothing is shuffled.
 
 A feature counts once for each document, however often it stands there. Null and empty texts: no features, so the bias alone.
-Null doc_id: scored. Rows with a null label or doc_id aren't learned from; repeated ones count each. Without labels,
+Null doc_id: scored. Very long texts: scored whole, in one task. Other columns are ignored by train() and by score() without keep. Rows with a null label or doc_id aren't learned from; repeated ones count each. Without labels,
 or with labels of one kind only, all scores equal that kind's share (0 without any). Empty table: no rows."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,23 +140,49 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most: int = 12_000, bi
     return {"at": np.array(row["at"], np.int64), "weight": np.array(row["weight"]), "bias": row["bias"], "share": row["share"]}
 
 
-def score(docs: DataFrame, model: dict, bits: int = BITS, keep: str = "") -> DataFrame:
-    """doc_id and score of every text; with keep, all columns of docs and one of that name."""
-    spark = docs.sparkSession
-    arrow(spark)
+def _scorer(spark: SparkSession, model: dict, bits: int):
+    """Scores of a column of texts, in a worker; the sparse weights are broadcast."""
     sent = spark.sparkContext.broadcast((np.asarray(model["at"], np.int32), np.asarray(model["weight"], np.float32), model["bias"], model["share"]))
 
-    def run(batches):
+    def scores_of(column: pa.Array, table: list) -> np.ndarray:
         at, weight, bias, share = sent.value
-        table = np.zeros((1 << bits) + 1, np.float64)
-        table[at] = weight
+        if not table:  # once for each task
+            table.append(np.zeros((1 << bits) + 1, np.float64))
+            table[0][at] = weight
+        ends, numbers = features(column, bits)
+        sums = np.concatenate([[0.0], np.cumsum(table[0][numbers])])
+        logits = sums[ends[1:]] - sums[ends[:-1]]
+        return np.full(len(logits), share) if share is not None else 1 / (1 + np.exp(-np.clip(np.round(logits, 9) + bias, -35, 35)))
+
+    return scores_of
+
+
+def score(docs: DataFrame, model: dict, bits: int = BITS, keep: str = "") -> DataFrame:
+    """doc_id and score of every text; with keep, all columns of docs and one of that name, which none of them may have."""
+    if keep.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {keep} of its own")
+    arrow(docs.sparkSession)
+    scores_of = _scorer(docs.sparkSession, model, bits)
+
+    def run(batches):
+        table: list = []
         for batch in batches:
-            ends, numbers = features(batch["text"], bits)
-            sums = np.concatenate([[0.0], np.cumsum(table[numbers])])
-            logits = sums[ends[1:]] - sums[ends[:-1]]
-            scores = np.full(len(logits), share) if share is not None else 1 / (1 + np.exp(-np.clip(np.round(logits, 9) + bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.columns if keep else [batch["doc_id"]]), pa.array(scores, pa.float64())], names=[*(batch.schema.names if keep else ["doc_id"]), keep or "score"])
+            scores = pa.array(scores_of(batch["text"], table), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.columns if keep else [batch["doc_id"]]), scores], names=[*(batch.schema.names if keep else ["doc_id"]), keep or "score"])
 
     if keep:
         return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(keep, T.DoubleType())]))
     return texts(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def below(docs: DataFrame, model: dict, threshold: float, bits: int = BITS) -> DataFrame:
+    """The rows of docs that score less than threshold, with all their columns, whatever their names."""
+    arrow(docs.sparkSession)
+    scores_of = _scorer(docs.sparkSession, model, bits)
+
+    def run(batches):
+        table: list = []
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(batch["text"], table) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
