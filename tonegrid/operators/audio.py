@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectrum
 from ..model import BAD_FORMAT, BUFFER, ERROR, NUMBER_TAGS, PROBE, TAGS, TEXT_TAGS, ArgumentError, AudioError
-from ..sources import alac, flac, mp4, ogg, pcm_files, probe as probing, tags as tagging
+from ..sources import alac, flac, layer3, mp4, ogg, pcm_files, probe as probing, tags as tagging
 
 WRITERS = {"wav": pcm_files.write_wave, "flac": flac.write_flac, "alac": alac.write_alac, "aiff": pcm_files.write_aiff}
 
@@ -37,12 +37,14 @@ def _guarded(f, content, mode: str) -> tuple:
         return None, {"status": BAD_FORMAT, "message": f"malformed: {e}"}
 
 
-def decoded(content: Column, rate: int = 0, mono: bool = False, mode: str = "permissive") -> Column:
-    """struct<sample_rate, channels, frames, samples, error>: mono first, then another rate, where asked for."""
+def decoded(content: Column, rate: int = 0, mono: bool = False, mode: str = "permissive", mp3_tables: str = "") -> Column:
+    """struct<sample_rate, channels, frames, samples, error>: mono first, then another rate, where asked for. mp3_tables: the
+    driver's path of the file with layer 3's tables (sources/layer3.py), which goes to the tasks."""
     _checked(mode)
+    tables = layer3.load_tables(mp3_tables) if mp3_tables else None
 
     def one(raw: bytes):
-        own, channels, samples = probing.decode(raw)
+        own, channels, samples = probing.decode(raw, tables)
         if mono or (rate and rate != own):
             planes = [spectrum.to_mono(samples, channels)] if mono else [samples[c::channels] for c in range(channels)]
             planes = [spectrum.resample(p, own, rate or own) for p in planes]

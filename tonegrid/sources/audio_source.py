@@ -1,6 +1,6 @@
 """The data source "audio": files of a folder as rows, and rows as files.
 
-Options: path (a folder); mode: probe (reads first bytes only), tags or decode; sample_rate and mono for decode; bytes_per_task.
+Options: path (a folder); mode: probe (reads first bytes only), tags or decode; sample_rate, mono and mp3_tables (a file on the driver) for decode; bytes_per_task.
 Folders that only Spark can read go through binaryFile and tonegrid.operators.audio instead; see read_binary()."""
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..model import BUFFER, ERROR, PROBE, TAGS, ArgumentError
+from . import layer3
 from . import probe as probing
 from . import tags as tagging
 
@@ -32,6 +33,7 @@ class Files(InputPartition):
 class AudioReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.mode, self.options = options["path"], options.get("mode", "decode"), dict(options)
+        self.tables = layer3.load_tables(options["mp3_tables"]) if options.get("mp3_tables") else None
 
     def partitions(self) -> list[InputPartition]:
         """Files dealt by size, so that a task reads about bytes_per_task."""
@@ -72,7 +74,7 @@ class AudioReader(DataSourceReader):
             return [*list(t.values())[:-1], [{"key": k, "value": v} for k, v in t["other"]]]
         from ..functions import spectrum
 
-        rate, channels, samples = probing.decode(data)
+        rate, channels, samples = probing.decode(data, self.tables)
         target, mono = int(self.options.get("sample_rate", 0)), self.options.get("mono", "false").lower() == "true"
         if mono:
             samples, channels = spectrum.to_mono(samples, channels), 1

@@ -30,12 +30,12 @@ def sniff(data: bytes) -> str:
     return "unknown"
 
 
-def decode(data: bytes) -> tuple[int, int, np.ndarray]:
-    """rate, channels and interleaved samples of whatever this is."""
+def decode(data: bytes, mp3_tables=None) -> tuple[int, int, np.ndarray]:
+    """rate, channels and interleaved samples of whatever this is. mp3_tables: what layer3.load_tables() gives."""
     kind = sniff(data)
     if kind == "unknown":
         raise AudioError("unrecognised audio container")
-    return {"wav": pcm_files.read_wave, "aiff": pcm_files.read_aiff, "flac": flac.read_flac, "mp4": alac.read_alac, "ogg": vorbis.read_vorbis, "mp3": mp3.read_mp3}[kind](data)
+    return {"wav": pcm_files.read_wave, "aiff": pcm_files.read_aiff, "flac": flac.read_flac, "mp4": alac.read_alac, "ogg": vorbis.read_vorbis, "mp3": lambda raw: mp3.read_mp3(raw, mp3_tables)}[kind](data)
 
 
 def _found(container: str, codec: str, rate: int, channels: int, frames: int | None) -> dict:
