@@ -15,7 +15,7 @@ from .functions import pcm, spectrum
 from .functions import similarity as _similarity
 from .model import BAD_IO, MAX_CHANNELS, ArgumentError, AudioError
 from .operators import audio
-from .sources import pcm_files, probe as _probe, tags as _tags
+from .sources import layer3, pcm_files, probe as _probe, tags as _tags
 from .sources.audio_source import read_binary, register
 from .sources.pcm_files import WaveWriter
 
@@ -77,18 +77,23 @@ def file_sniff(path: str) -> str:
         raise ReadError(f"cannot open {path}: {e.strerror}") from e
 
 
-def file_probe(path: str, exact: bool = True) -> dict:
+def _tables(path: str) -> layer3.Tables | None:
+    """Layer 3's tables from their file, where one is given."""
+    return layer3.load_tables(path) if path else None
+
+
+def file_probe(path: str, exact: bool = True, mp3_tables: str = "") -> dict:
     data = _bytes(path)
-    return _probe.exact(data) if exact else _probe.probe(data)
+    return _probe.exact(data, _tables(mp3_tables)) if exact else _probe.probe(data)
 
 
 def file_wave_probe(path: str) -> dict:
     return _probe.probe_wave(_bytes(path))
 
 
-def file_decode(path: str, rate: int = 0, mono: bool = False) -> tuple[int, int, np.ndarray]:
+def file_decode(path: str, rate: int = 0, mono: bool = False, mp3_tables: str = "") -> tuple[int, int, np.ndarray]:
     """rate, channels, interleaved samples; mono before another rate."""
-    own, channels, samples = _probe.decode(_bytes(path))
+    own, channels, samples = _probe.decode(_bytes(path), _tables(mp3_tables))
     if rate < 0:
         raise ArgumentError(f"sample rate out of range: {rate}")
     if mono:
@@ -104,8 +109,8 @@ def file_tags(path: str) -> dict:
     return _tags.read_tags(_bytes(path))
 
 
-def file_fingerprint(path: str, chroma: bool = False) -> tuple[float, list[int]]:
-    rate, channels, samples = _probe.decode(_bytes(path))
+def file_fingerprint(path: str, chroma: bool = False, mp3_tables: str = "") -> tuple[float, list[int]]:
+    rate, channels, samples = _probe.decode(_bytes(path), _tables(mp3_tables))
     seconds, words = (spectrum.chroma_fingerprint if chroma else spectrum.fingerprint)(samples, rate, channels)
     return seconds, words.tolist()
 

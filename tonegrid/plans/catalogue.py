@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare, media_queries, pcm_queries, spectrum_queries
+from . import compare, file_queries, media_queries, pcm_queries, spectrum_queries
 
-PARTS = (pcm_queries, spectrum_queries, compare, media_queries)
+PARTS = (pcm_queries, spectrum_queries, compare, media_queries, file_queries)
 
 
 def queries() -> dict:

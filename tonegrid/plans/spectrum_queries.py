@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import spectrum as sp
+from ..operators import audio
 from . import signals
 
 _Q: dict = {}
@@ -114,16 +115,38 @@ def fp_words_events(spark, sf_dir):
     return sp.band_word_table(sp.band_energy_table(sp.frames_of_samples(signals.ev_samples(spark, sf_dir)))).select("pos", "word")
 
 
-def _recording(spark, sf_dir):
-    """The whole signal as one buffer, for the whole-buffer kernels."""
-    s = signals.emb_samples(spark, sf_dir).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("x"))
-    return s.select("recording_id", F.col("x.value").alias("samples"), F.lit(sp.RATE).alias("sample_rate"), F.lit(1).alias("channels"))
+#: Vectors that make one recording, and a number above its frames: with it a frame's number tells its recording, too.
+VECTORS, FRAMES = 400, 1000
+_SPAN = 64 * VECTORS
 
 
-@_query(f"WITH {_WORDS_SQL} SELECT (SELECT count(*) FROM sig) / {sp.RATE}.0::DOUBLE AS duration, CAST(frame - 1 AS INTEGER) AS pos, CAST(sum(CASE WHEN dd > 0 THEN CAST(1 AS BIGINT) << band ELSE 0 END) AS BIGINT) AS word FROM twice WHERE dd IS NOT NULL GROUP BY frame")
+def _files(spark, sf_dir):
+    """The signal as recordings of so many vectors each, as WAV files."""
+    s = signals.emb_samples(spark, sf_dir).groupBy(F.floor(F.col("pos") / _SPAN).cast("int").alias("recording")).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("x"))
+    return s.select("recording", audio.encoded(F.col("x.value"), F.lit(sp.RATE), F.lit(1), "wav", 24).alias("content"))
+
+
+def _many(sql: str) -> str:
+    """The same SQL, recording by recording: the signal as it comes back from files of 24 bits, and windows that end with a recording."""
+    coded = f"(SELECT pos, CAST(CAST(round(CAST(CAST(value * CAST(8388608 AS FLOAT) AS FLOAT) AS DOUBLE)) AS BIGINT) / 8388608.0::DOUBLE AS FLOAT) AS value FROM ({signals.EMB_SQL}))"
+    whole = _frames_sql(signals.EMB_SQL)
+    parts = f"""sig AS (SELECT pos // {_SPAN} AS rec, pos % {_SPAN} AS pos, value FROM {coded}),
+f AS (SELECT rec, unnest(range(0, CAST(floor((n - {sp.FRAME}) / {sp.HOP}) AS BIGINT) + 1)) AS k FROM (SELECT rec, count(*) AS n FROM sig GROUP BY rec) WHERE n >= {sp.FRAME}),
+fr AS (SELECT f.rec * {FRAMES} + f.k AS frame, sig.pos - f.k * {sp.HOP} AS i, sig.value FROM sig JOIN f ON sig.rec = f.rec AND sig.pos BETWEEN f.k * {sp.HOP} AND f.k * {sp.HOP} + {sp.FRAME - 1})"""
+    assert whole in sql
+    return sql.replace(whole, parts)
+
+
+_FILE_WORDS = f"SELECT CAST(frame // {FRAMES} AS INTEGER) AS recording, CAST(frame % {FRAMES} - 1 AS INTEGER) AS pos, CAST(sum(CASE WHEN dd > 0 THEN CAST(1 AS BIGINT) << band ELSE 0 END) AS BIGINT) AS word FROM twice WHERE dd IS NOT NULL GROUP BY frame"
+
+
+@_query(f"""WITH {_many(_WORDS_SQL).replace('PARTITION BY band ORDER BY frame', f'PARTITION BY band, frame // {FRAMES} ORDER BY frame')},
+words AS ({_FILE_WORDS}), long AS (SELECT CAST(rec AS INTEGER) AS recording, count(*) / {sp.RATE}.0::DOUBLE AS duration FROM sig GROUP BY rec)
+SELECT words.recording, duration, pos, word FROM words JOIN long ON words.recording = long.recording""")
 def fingerprint(spark, sf_dir):
-    f = _recording(spark, sf_dir).select(sp.fingerprint_udf()("samples", "sample_rate", "channels").alias("f"))
-    return f.select("f.duration", F.posexplode("f.words").alias("pos", "word"))
+    """Files of full length, decoded and fingerprinted."""
+    f = audio.fingerprints(_files(spark, sf_dir))
+    return f.select("recording", "fingerprint.duration", F.posexplode("fingerprint.words").alias("pos", "word"))
 
 
 _NOTES = sp.note_range()
@@ -185,10 +208,18 @@ def chroma_words(spark, sf_dir):
     return sp.chroma_word_table(sp.classifier_table(_unit(spark, sf_dir))).select("pos", "word")
 
 
-@_query(f"WITH {_LEVEL_SQL} SELECT CAST(pos AS INTEGER) AS pos, CAST(sum(CAST([0, 1, 3, 2][level + 1] AS BIGINT) << (2 * (15 - c))) AS BIGINT) AS word FROM lev GROUP BY pos")
+def _many_levels() -> str:
+    sql = _many(_LEVEL_SQL).replace("PARTITION BY note ORDER BY frame", f"PARTITION BY note, frame // {FRAMES} ORDER BY frame")
+    every = "SELECT DISTINCT row AS pos FROM unit WHERE row <= (SELECT max(row) FROM unit) - 15"
+    assert every in sql
+    return sql.replace(every, f"SELECT DISTINCT u.row AS pos FROM unit AS u JOIN (SELECT row // {FRAMES} AS rec, max(row) AS last FROM unit GROUP BY row // {FRAMES}) AS m ON u.row // {FRAMES} = m.rec WHERE u.row <= m.last - 15")
+
+
+@_query(f"WITH {_many_levels()} SELECT CAST(pos // {FRAMES} AS INTEGER) AS recording, CAST(pos % {FRAMES} AS INTEGER) AS pos, CAST(sum(CAST([0, 1, 3, 2][level + 1] AS BIGINT) << (2 * (15 - c))) AS BIGINT) AS word FROM lev GROUP BY lev.pos")
 def chroma_fingerprint(spark, sf_dir):
-    f = _recording(spark, sf_dir).select(sp.chroma_udf()("samples", "sample_rate", "channels").alias("f"))
-    return f.select(F.posexplode("f.words").alias("pos", "word"))
+    """Files of full length, decoded and fingerprinted by pitch."""
+    f = audio.fingerprints(_files(spark, sf_dir))
+    return f.select("recording", F.posexplode("chroma.words").alias("pos", "word"))
 
 
 def queries() -> dict:

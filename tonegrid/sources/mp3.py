@@ -154,3 +154,12 @@ def read_mp3(data: bytes, tables: layer3.Tables | None = None) -> tuple[int, int
     if trim:
         samples = samples[min(trim[0] + LAG, len(samples)) : max(0, len(samples) - max(0, trim[1] - LAG))]
     return head["rate"], channels, samples.reshape(-1).astype(np.float32)
+
+
+def silent_frames(n: int, rate: int = 44100, channels: int = 1) -> bytes:
+    """n frames at 128 kbit/s (64 in the second version) whose granules have no spectrum."""
+    version = next((v for v, rates in RATES.items() if rate in rates), None)
+    if version is None or channels not in (1, 2):
+        raise AudioError(f"mp3: no such stream: {rate} Hz, {channels} channels")
+    head = bytes([0xFF, 0xE0 | version << 3 | 3, (9 if version == 3 else 8) << 4 | RATES[version].index(rate) << 2, 0xC0 if channels == 1 else 0])
+    return head.ljust(header(head, 0)["size"], b"\0") * n

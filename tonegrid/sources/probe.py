@@ -111,9 +111,9 @@ def probe(data: bytes, whole=None) -> dict:
         return PROBES[kind](whole())
 
 
-def exact(data: bytes) -> dict:
+def exact(data: bytes, mp3_tables=None) -> dict:
     """The probe of a full decode: frames are counted."""
-    rate, channels, samples = decode(data)
+    rate, channels, samples = decode(data, mp3_tables)
     found = probe(data)
     return found | {"sample_rate": rate, "channels": channels, "frames": len(samples) // channels, "frames_known": True}
 
