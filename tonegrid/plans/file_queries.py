@@ -129,7 +129,7 @@ def _vorbis_file(samples) -> bytes:
     "WITH s AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS x FROM embeddings), b AS (SELECT vec_id, i // 32 AS block, i % 32 AS k, CASE WHEN CAST(x AS FLOAT) > 0 THEN 1 ELSE -1 END AS v FROM s), "
     "p AS (SELECT unnest(range(0, 32)) AS pos), t AS (SELECT pos, block, pos + 32 * (1 - block) AS n FROM p, (SELECT unnest([0, 1]) AS block)), "
     "f AS (SELECT t.pos, b.block, b.k, sin(pi() / 2 * pow(sin((t.n + 0.5) / 64 * pi()), 2)) * cos(pi() / 128 * (2 * t.n + 33) * (2 * b.k + 1)) AS c FROM t JOIN (SELECT DISTINCT block, k FROM b) AS b ON t.block = b.block) "
-    "SELECT b.vec_id, CAST(f.pos AS INTEGER) AS pos, CAST(round(least(greatest(sum(b.v * f.c), -1), 1) * 32768) AS BIGINT) AS code FROM b JOIN f ON b.block = f.block AND b.k = f.k GROUP BY b.vec_id, f.pos"
+    "SELECT b.vec_id, CAST(f.pos AS INTEGER) AS pos, CAST(round(CAST(CAST(least(greatest(sum(b.v * f.c), -1), 1) AS FLOAT) AS DOUBLE) * 32768) AS BIGINT) AS code FROM b JOIN f ON b.block = f.block AND b.k = f.k GROUP BY b.vec_id, f.pos"
 )
 def vorbis_spectra(spark, sf_dir):
     """Two blocks of known spectra: the sum of their windowed inverse transforms, where they overlap."""

@@ -116,7 +116,7 @@ def fp_words_events(spark, sf_dir):
 
 
 #: Vectors that make one recording, and a number above its frames: with it a frame's number tells its recording, too.
-VECTORS, FRAMES = 400, 1000
+VECTORS, FRAMES = 480, 1000
 _SPAN = 64 * VECTORS
 
 
