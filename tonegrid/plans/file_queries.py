@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -28,16 +25,6 @@ def _query(sql: str):
     return add
 
 
-def _folder(spark, name: str) -> str:
-    """A new path in the folder that all executors share; in local mode one of our own will do."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tonegrid-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 def _ids(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
 
@@ -222,7 +209,7 @@ PER_FILE = 50
 @_query(f"WITH s AS (SELECT vec_id // {PER_FILE} AS recording_id, vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS x FROM embeddings) SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY vec_id, i) - 1 AS pos, CAST({_CODE_SQL} / 32768.0::DOUBLE AS FLOAT) AS value FROM s")
 def wav_blocks(spark, sf_dir):
     """A stream of blocks, written to WAV files block by block, and decoded."""
-    path = _folder(spark, "wav-blocks")
+    path = signals.shared_path(spark, "wav-blocks")
     rows = signals.emb_rows(spark, sf_dir).select(F.floor(F.col("vec_id") / PER_FILE).cast("long").alias("recording_id"), F.col("vec_id").alias("block_no"), "samples")
     rows.write.parquet(f"{path}/blocks")
     source = spark.readStream.schema("recording_id long, block_no long, samples array<float>").parquet(f"{path}/blocks")
@@ -243,7 +230,7 @@ _KINDS = ("wav", "flac", "alac", "aiff")
 def audio_folder(spark, sf_dir):
     """Files of four kinds, written by the sink and read by the source in its three modes."""
     audio_source.register(spark)
-    path = _folder(spark, "audio-folder")
+    path = signals.shared_path(spark, "audio-folder")
     rows = signals.emb_rows(spark, sf_dir)
     coded = [audio.encoded(F.col("samples"), F.col("sample_rate"), F.lit(2), k) for k in _KINDS]
     content = F.coalesce(*(F.when(F.col("vec_id") % 4 == i, c) for i, c in enumerate(coded)))

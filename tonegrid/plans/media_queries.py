@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,7 +152,9 @@ def decode_errors(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    """Null texts and labels count as empty."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
 
 
 def _made(df: DataFrame, f) -> DataFrame:
@@ -187,9 +186,10 @@ def _track(row) -> bytes:
 def mp4_asof_samples(spark, sf_dir):
     """Every line of a text is a coded frame: its place follows from the sample tables by as-of joins."""
     made = _made(_documents(spark, sf_dir), _track)
-    places = asof.sample_offsets(audio.mp4_tables(made, "doc_id"), "doc_id")
-    found = F.expr("substring(content, cast(offset + 1 as int), cast(size as int))")
-    return places.join(made, "doc_id").select("doc_id", "sample_no", "size", F.md5(found).alias("digest"))
+    places = asof.sample_offsets(audio.mp4_tables(made, "doc_id"), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("sample_no", "offset", "size")).alias("samples"))
+    # A file's own samples are cut where it is: files are joined once each, not once for each sample.
+    cut = F.transform("samples", lambda x: F.struct(x["sample_no"].alias("sample_no"), x["size"].alias("size"), F.md5(F.substring(F.col("content"), (x["offset"] + 1).cast("int"), x["size"].cast("int"))).alias("digest")))
+    return places.join(made, "doc_id").select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.sample_no", "x.size", "x.digest")
 
 
 @_query("SELECT doc_id, unnest(['/ftyp', '/moov', '/moov/mvhd', '/moov/trak', '/moov/trak/tkhd', '/moov/trak/mdia', '/moov/trak/mdia/mdhd', '/moov/trak/mdia/hdlr', '/moov/trak/mdia/minf', '/moov/trak/mdia/minf/smhd', '/moov/trak/mdia/minf/dinf', '/moov/trak/mdia/minf/dinf/dref', '/moov/trak/mdia/minf/stbl', '/moov/trak/mdia/minf/stbl/stsd', '/moov/trak/mdia/minf/stbl/stts', '/moov/trak/mdia/minf/stbl/stsc', '/moov/trak/mdia/minf/stbl/stsz', '/moov/trak/mdia/minf/stbl/stco', '/mdat']) AS path FROM documents")
@@ -294,8 +294,7 @@ def stream_fp_words(spark, sf_dir):
     """Words from a stream of blocks, which don't line up with frames."""
     from ..streaming import audio as stream
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tonegrid-")
-    path = f"{folder}/stream-{np.random.default_rng().integers(1 << 62)}"
+    path = signals.shared_path(spark, "stream")
     samples = signals.emb_samples(spark, sf_dir)
     blocks = samples.groupBy(F.col("recording_id").cast("long").alias("recording_id"), F.floor(F.col("pos") / 1000).alias("block_no")).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("x"))
     blocks.select("recording_id", "block_no", F.col("x.value").alias("samples")).write.parquet(f"{path}/blocks")

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); in local mode one of our own will do."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tonegrid-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def emb_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A buffer for each embedding: vec_id, sample_rate, channels, samples."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -8,8 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..model import BUFFER, ERROR, PROBE, TAGS, ArgumentError
 from . import layer3
@@ -19,6 +23,16 @@ from . import tags as tagging
 SCHEMAS = {"probe": PROBE, "tags": TAGS, "decode": BUFFER}
 
 
+#: Bytes that a batch of rows should hold.
+BATCH_BYTES = 8 << 20
+
+
+def _schema(mode: str) -> str:
+    if mode not in SCHEMAS:
+        raise ArgumentError(f"mode must be probe, tags or decode, not {mode}")
+    return f"path string, {SCHEMAS[mode]}, error {ERROR}"
+
+
 def _files(path: str):
     from pyarrow import fs
 
@@ -31,12 +45,14 @@ class Files(InputPartition):
 
 
 class AudioReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, schema: StructType):
         self.path, self.mode, self.options = options["path"], options.get("mode", "decode"), dict(options)
+        self.schema = to_arrow_schema(schema)
         self.tables = layer3.load_tables(options["mp3_tables"]) if options.get("mp3_tables") else None
 
     def partitions(self) -> list[InputPartition]:
-        """Files dealt by size, so that a task reads about bytes_per_task."""
+        """Files dealt by size, so that a task reads about bytes_per_task. The listing is the driver's, as for any file source of Spark: a
+        path and a size for each file."""
         from pyarrow import fs
 
         system, root = _files(self.path)
@@ -52,19 +68,35 @@ class AudioReader(DataSourceReader):
             held += cost
         return [Files(g) for g in groups]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        """Arrow batches of about BATCH_BYTES; samples go over as one array, never value by value."""
         from ..operators.audio import _guarded
 
         system, _ = _files(self.path)
+        rows, held = [], 0
         for path, size in partition.paths:
             with system.open_input_file(path) as f:
                 data = f.read(min(size, probing.PREFIX) if self.mode == "probe" else size)
                 whole = lambda f=f: (f.seek(0), f.read())[1]
                 found, error = _guarded(lambda raw, whole=whole: self._row(raw, whole), data, "permissive")
-            yield (path, *(found or [None] * self._width()), error)
-
-    def _width(self) -> int:
-        return len(self._row(b"", None)) if self.mode == "tags" else {"probe": 6, "decode": 4}[self.mode]
+            rows.append((path, *(found or [None] * (len(self.schema) - 2)), error))
+            held += 4 * len(found[3]) if found and self.mode == "decode" else 1000
+            if held >= BATCH_BYTES:
+                yield self._batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list) -> pa.RecordBatch:
+        columns = []
+        for field, values in zip(self.schema, zip(*rows)):
+            if field.name == "samples":
+                some = [np.zeros(0, np.float32) if v is None else np.asarray(v, np.float32) for v in values]
+                ends = np.cumsum([0, *map(len, some)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(some), pa.float32()), mask=pa.array([v is None for v in values])))
+            else:
+                columns.append(pa.array(values, field.type))
+        return pa.RecordBatch.from_arrays(columns, names=self.schema.names)
 
     def _row(self, data: bytes, whole) -> list:
         if self.mode == "probe":
@@ -82,7 +114,7 @@ class AudioReader(DataSourceReader):
             if channels != 1:
                 raise ArgumentError("another sample_rate needs mono")
             samples, rate = spectrum.resample(samples, rate, target), target
-        return [rate, channels, len(samples) // channels, samples.tolist()]
+        return [rate, channels, len(samples) // channels, samples]
 
 
 @dataclass
@@ -120,13 +152,10 @@ class AudioSource(DataSource):
         return "audio"
 
     def schema(self) -> str:
-        mode = self.options.get("mode", "decode")
-        if mode not in SCHEMAS:
-            raise ArgumentError(f"mode must be probe, tags or decode, not {mode}")
-        return f"path string, {SCHEMAS[mode]}, error {ERROR}"
+        return _schema(self.options.get("mode", "decode"))
 
     def reader(self, schema) -> DataSourceReader:
-        return AudioReader(self.options)
+        return AudioReader(self.options, schema)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return AudioWriter(self.options)
