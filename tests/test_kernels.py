@@ -219,3 +219,33 @@ def test_hostile_bytes_never_crash():
                     f(bytes(bad))
                 except (AudioError, IndexError, ValueError, OverflowError, ArithmeticError):
                     pass  # the row's error, in Spark
+
+
+@pytest.mark.parametrize("bits", [16, 24])
+def test_alac_frames_side_by_side_are_those_one_by_one(monkeypatch, bits):
+    from tonegrid.sources import alac_lanes
+
+    rng = np.random.default_rng(bits)
+    files = []
+    for k in range(12):
+        n, channels = int(rng.integers(1, 5000)), 1 + k % 2
+        x = [np.sin(np.arange(n) * 0.05) * 0.5, rng.normal(0, 0.05, n), np.where(rng.random(n) < 0.01, rng.normal(0, 0.3, n), 0), np.zeros(n)][k % 4]
+        files.append(alac.write_alac(np.stack([x] + [np.roll(x, 3) * 0.7] * (channels - 1), 1).reshape(-1).astype(np.float32), 8000, channels, bits))
+    files += [files[0][:-40], b"no file", files[1][: len(files[1]) // 2] + rng.bytes(64) + files[1][len(files[1]) // 2 + 64 :]]
+
+    def all_of(read):
+        out = []
+        for f in files:
+            try:
+                rate, channels, samples = read(f)
+                out.append((rate, channels, samples.tobytes()))
+            except (AudioError, ValueError, IndexError):
+                out.append(None)
+        return out
+
+    monkeypatch.setattr(alac_lanes, "ENOUGH", 1 << 30)
+    want = all_of(alac.read_alac)
+    monkeypatch.setattr(alac_lanes, "ENOUGH", 1)
+    assert all_of(alac.read_alac) == want
+    assert [None if isinstance(f, AudioError) else (f[0], f[1], f[2].tobytes()) for f in alac.read_many(files)] == want
+    assert sum(w is None for w in want) >= 2

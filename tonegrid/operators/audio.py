@@ -43,8 +43,8 @@ def decoded(content: Column, rate: int = 0, mono: bool = False, mode: str = "per
     _checked(mode)
     tables = layer3.load_tables(mp3_tables) if mp3_tables else None
 
-    def one(raw: bytes):
-        own, channels, samples = probing.decode(raw, tables)
+    def one(raw: bytes, found=None):
+        own, channels, samples = found or probing.decode(raw, tables)
         if mono or (rate and rate != own):
             planes = [spectrum.to_mono(samples, channels)] if mono else [samples[c::channels] for c in range(channels)]
             planes = [spectrum.resample(p, own, rate or own) for p in planes]
@@ -53,7 +53,10 @@ def decoded(content: Column, rate: int = 0, mono: bool = False, mode: str = "per
 
     @F.pandas_udf(f"{BUFFER}, error {ERROR}")
     def run(content: pd.Series) -> pd.DataFrame:
-        rows = [_guarded(one, c, mode) for c in content]
+        # Files in MP4 are decoded side by side; those that fail go the plain way, which tells why.
+        at = [i for i, c in enumerate(content) if c is not None and probing.sniff(bytes(c[:16])) == "mp4"]
+        ready = {i: f for i, f in zip(at, alac.read_many([bytes(content.iloc[i]) for i in at])) if not isinstance(f, AudioError)}
+        rows = [_guarded(lambda raw, i=i: one(raw, ready.get(i)), c, mode) for i, c in enumerate(content)]
         found = [r if r else (None,) * 4 for r, _ in rows]
         return pd.DataFrame({n: pd.Series([r[i] for r in found], dtype=object) for i, n in enumerate(("sample_rate", "channels", "frames", "samples"))} | {"error": pd.Series([e for _, e in rows], dtype=object)})
 

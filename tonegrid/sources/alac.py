@@ -2,15 +2,17 @@
 
 Samples are coded per frame: channels are mixed, an adaptive sign-driven filter predicts each sample from those before, and the errors are
 written by an adaptive Golomb code with a mode for runs of zeros. The filter and the code depend on each sample before, so a frame
-is sequential; frames carry their own coefficients, so they are independent of each other."""
+is sequential; frames carry their own coefficients, so they are independent of each other, and many are decoded side by side (alac_lanes)."""
 
 from __future__ import annotations
 
 import struct
+import sys
 
 import numpy as np
 
 from ..model import MAX_RATE, ArgumentError, AudioError, check_shape
+from . import alac_lanes as lanes
 from . import mp4
 from .bits import BitReader, BitWriter
 from .pcm_files import from_codes, quantise
@@ -258,17 +260,116 @@ def _element(r: _Window, c: dict, count: int) -> list[list[int]]:
     return planes
 
 
-def read_alac(data: bytes) -> tuple[int, int, np.ndarray]:
+def _head(data: bytes, c: dict) -> dict | None:
+    """What stands before the codes of a frame that is one plain element; None for any other, which is decoded by itself."""
+    r = _Window(data)
+    count = {SINGLE: 1, LFE: 1, PAIR: 2}.get(r.read(3))
+    r.read(4)
+    if count != c["channels"] or r.read(12):
+        return None
+    partial, shifted, escape = r.read(1), r.read(2), r.read(1)
+    if escape or shifted == 3:
+        return None
+    n = r.read(32) if partial else c["length"]
+    if not 0 < n <= c["length"]:
+        return None
+    head = {"n": n, "shifted": shifted, "width": c["bits"] - 8 * shifted + count - 1, "mix_bits": r.read(8), "mix": _wrap(r.read(8), 8), "planes": []}
+    for _ in range(count):
+        mode, shift, factor, taps = r.read(4), r.read(4), r.read(3), r.read(5)
+        head["planes"].append((mode, max(shift, 1), factor, [_wrap(r.read(16), 16) for _ in range(taps)]))
+        if mode or not 0 < taps < 31:
+            return None
+    head["low"] = [r.read(8 * shifted) for _ in range(n * count)] if shifted else []
+    return head | {"at": r.at}
+
+
+def _side_by_side(frames: list[tuple[bytes, dict]]) -> list[np.ndarray | None]:
+    """decode_frame() of frames (bytes and parameters) all at once; None where a frame has to be decoded by itself."""
+    out: list = [None] * len(frames)
+    heads = []
+    for i, (data, c) in enumerate(frames):
+        try:
+            if head := _head(data, c):
+                heads.append((i, c, head))
+        except AudioError:
+            pass
+    if len(heads) < lanes.ENOUGH:
+        return out
+    words = lanes.Words([frames[i][0] for i, _, _ in heads])
+    at, n = words.begin + [h["at"] for _, _, h in heads], np.array([h["n"] for _, _, h in heads])
+    width, bad, planes = np.array([h["width"] for _, _, h in heads]), np.zeros(len(heads), bool), {}
+    for channel in range(2):
+        own = np.array([j for j, (_, _, h) in enumerate(heads) if channel < len(h["planes"])], np.int64)
+        if not len(own):
+            break
+        specs = [heads[j][2]["planes"][channel] for j in own]
+        numbers = lambda name, own=own: np.array([heads[j][1][name] for j in own], np.int64)
+        pb = numbers("pb") * np.array([s[2] for s in specs]) // 4
+        errors, at[own], lost = lanes.decode_errors(words, own, at[own], n[own], width[own], pb, numbers("mb"), numbers("kb"), sys.modules[__name__])
+        bad[own] |= lost
+        alike: dict = {}
+        for place, (_, shift, _, taps) in enumerate(specs):
+            alike.setdefault((shift, len(taps)), []).append(place)
+        for (shift, _), places in alike.items():
+            longest = int(n[own[places]].max())
+            samples = lanes.undo_filter(errors[places, :longest], np.array([specs[p][3] for p in places], np.int64), width[own[places]], shift)
+            for place, row in zip(places, samples):
+                planes[own[place], channel] = row
+    for j, (i, c, h) in enumerate(heads):
+        if bad[j]:
+            continue
+        own = [planes[j, channel][: h["n"]] for channel in range(c["channels"])]
+        if len(own) == 2 and h["mix"]:
+            u, v = own
+            left = u + v - (h["mix"] * v >> h["mix_bits"])
+            own = [left, left - v]
+        if h["shifted"]:
+            own = [p << 8 * h["shifted"] | np.array(h["low"][k :: c["channels"]], np.int64) for k, p in enumerate(own)]
+        out[i] = np.stack(own)
+    return out
+
+
+def _opened(data: bytes) -> tuple[dict, dict, list[bytes]]:
     track = mp4.audio_track(data)
     if track["codec"] != "alac":
         raise AudioError(f"mp4: the audio track is {track['codec']}, which is not decoded")
-    c = parse_cookie(track["setup"])
-    blocks = [decode_frame(mp4.sample_data(data, s), c) for s in track["samples"]]
+    return track, parse_cookie(track["setup"]), [mp4.sample_data(data, s) for s in track["samples"]]
+
+
+def read_many(files: list[bytes]) -> list:
+    """read_alac() of several files, whose frames are decoded side by side; an AudioError in place of a file that can't be decoded."""
+    opened: list = []
+    for data in files:
+        try:
+            opened.append(_opened(data))
+        except (AudioError, IndexError, ValueError, struct.error) as e:
+            opened.append(e if isinstance(e, AudioError) else AudioError(f"malformed: {e}"))
+    frames = [(raw, o[1]) for o in opened if not isinstance(o, AudioError) for raw in o[2]]
+    found, out = iter(_side_by_side(frames)), []
+    for o in opened:
+        if isinstance(o, AudioError):
+            out.append(o)
+            continue
+        own = [(raw, next(found)) for raw in o[2]]
+        try:
+            out.append(_joined(o[0], o[1], [decode_frame(raw, o[1]) if block is None else block for raw, block in own]))
+        except (AudioError, IndexError, ValueError, struct.error) as e:
+            out.append(e if isinstance(e, AudioError) else AudioError(f"malformed: {e}"))
+    return out
+
+
+def _joined(track: dict, c: dict, blocks: list[np.ndarray]) -> tuple[int, int, np.ndarray]:
     planes = np.concatenate(blocks, 1) if blocks else np.zeros((c["channels"], 0), np.int64)
     rate = c["rate"] if 1 <= c["rate"] <= MAX_RATE else track["rate"]
     return rate, c["channels"], from_codes(planes.T.reshape(-1), c["bits"])
 
 
+def read_alac(data: bytes) -> tuple[int, int, np.ndarray]:
+    track, c, frames = _opened(data)
+    found = _side_by_side([(raw, c) for raw in frames])
+    return _joined(track, c, [decode_frame(raw, c) if block is None else block for raw, block in zip(frames, found)])
+
+
 # --- writing ----------------------------------------------------------------
 
 
