@@ -89,6 +89,12 @@ def test_top_k_is_exact(spark, block):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_top_k_refuses_what_may_overflow(spark):
+    df = spark.createDataFrame([(0, [0.5, 20000.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="quantised component"):
+        topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
+
+
 def test_bit_sliced_sums():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 50, (9, 130))

@@ -53,3 +53,63 @@ def test_long_lines_are_gone_from_the_corpus(spark, sf_dir):
     rows = [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage)]
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, cases.documents(spark, rows), sf_dir).collect()}
     assert out == {1: rows[0][1], 2: "c\nd", 3: ""}
+
+
+def plain_lines(rows, runs=2, words=50):
+    """Texts without later copies of runs of lines and of long lines."""
+    first, split = {}, {d: t.split("\n") for d, t in rows}
+    for d in sorted(split):
+        for n in (1, runs):
+            for i in range(len(split[d]) - n + 1):
+                first.setdefault(tuple(split[d][i : i + n]), (d, i))
+    out = []
+    for d, t in rows:
+        gone = set()
+        for n in (1, runs):
+            for i in range(len(split[d]) - n + 1):
+                run = tuple(split[d][i : i + n])
+                counts = n > 1 and any(x.strip(" \t\r") for x in run) or n == 1 and len(run[0].split()) >= words
+                if counts and first[run] != (d, i):
+                    gone |= set(range(i, i + n))
+        out.append((d, "\n".join(x for i, x in enumerate(split[d]) if i not in gone)))
+    return out
+
+
+def test_the_whole_pipeline_against_plain_versions(spark, tmp_path):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tonegrid.llm import queries, secrets
+
+    from .test_operators import base_spans, check_packing
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeiounrstl") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = prose(60)
+    rows = [(i, "\n".join(prose(rng.randint(5, 30)) for _ in range(rng.randint(1, 6)))) for i in range(400)]
+    toxic = {i for i in range(400) if i % 6 == 0}
+    rows = [(d, t + " nasty" if d in toxic else t) for d, t in rows]
+    rows += [(1000 + i, rows[i][1]) for i in range(1, 30)] + [(1100 + i, rows[i][1] + " " + rng.choice(words)) for i in range(31, 60)]
+    rows += [(1200 + i, f"{prose(8)}\n{passage}\n{prose(9)}") for i in range(5)] + [(1300, f"{prose(20)} password: hunter2222 {prose(9)}"), (1301, "")]
+    table = [(d, t, "en", "s", len(t)) for d, t in rows]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    known = [(d, 1, int("nasty" in t)) for d, t in rows if d % 3]
+    spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    left = [(d, t) for d, t in rows if "nasty" not in t]
+    left = plain_lines(left)
+    smallest = set(cases.components(left, 5).values())
+    left = [(d, t) for d, t in left if d in smallest]
+    cleaned = []
+    for d, t in left:
+        for kind, a, b in reversed(base_spans(t)):
+            t = t[: secrets.ASSIGN.match(t, a).start(2) if kind == "assign" else a] + "[secret]" + t[b:]
+        cleaned.append((d, t))
+    assert any("[secret]" in t for _, t in cleaned) and len(cleaned) < len(rows) - 100
+    tokenizer = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    want = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t in cleaned}
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in found} == set(want)
+    check_packing(found, want, 2048)

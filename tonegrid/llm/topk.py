@@ -9,8 +9,8 @@ rows are resolved by exact integer products, so the result is exact whatever the
 A block meets the queries in packs, so a task holds one index and one pack; each pair of both gives k rows for each query at most, and
 the window over them has a group limit before its shuffle. The index and the answers of blocks are tables in the shared folder.
 
-Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id. Components must stay below
-2 ** 24 once quantised, so that products fit a long. Repeated ids: each row is a candidate; among a query's rows the smallest vector
+Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id. Components that
+reach 2 ** 24 once quantised are an error, as products might not fit a long. Repeated ids: each row is a candidate; among a query's rows the smallest vector
 asks; rows with the query's own id are no candidates. Only vectors of the query's length compare. Ties go to the smaller id, then
 repeated rows count one by one. Empty table: no rows. Other columns are ignored."""
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import arrow, stored
 
 ROWS, PACK = 16384, 512
+#: Quantised components must be smaller, so that products fit a long.
+MOST = 1 << 24
 #: Low bits that the slices of attributes and the weights of queries leave out.
 SKIP, SKIP_QUERY = 3, 2
 
@@ -32,7 +34,10 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
     """floor(scale * x) of each component, or null where the vector takes no part."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     fine = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when((F.size(vector) > 0) & F.coalesce(fine, F.lit(False)), F.transform(wide, lambda x: F.floor(x * scale).cast("long")))
+    whole = F.transform(wide, lambda x: F.floor(x * scale).cast("long"))
+    small = F.forall(whole, lambda x: F.abs(x) < MOST)
+    too_large = F.raise_error(F.lit(f"a quantised component reaches {MOST}")).cast("array<long>")
+    return F.when((F.size(vector) > 0) & F.coalesce(fine, F.lit(False)), F.when(small, whole).otherwise(too_large))
 
 
 def add_slices(levels: list[np.ndarray]) -> list[np.ndarray]:
