@@ -20,7 +20,7 @@ compressed, by block. Everything is found from whole texts, and compared byte by
 
 Null and empty texts: nothing to remove. Texts below `length`: likewise. Documents with a null doc_id: keep all, and nothing is
 removed on their account. Repeated doc_ids: none is smaller, so they don't remove each other's strings. Very long texts: one block
-holds at least one text. Empty table: no rows. Other columns are ignored."""
+holds at least one text; beyond 2 ** 23 bytes it is parsed in overlapping parts. Empty table: no rows. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -141,6 +141,29 @@ def _digest(ends: np.ndarray, doc_ids: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(ends.tobytes() + doc_ids.tobytes(), digest_size=7).digest(), "little")
 
 
+#: Bytes, or strings, that are gathered at a time: indexes take eight times as much.
+GATHER = 1 << 20
+
+
+def _portions(lengths: np.ndarray):
+    """Ranges of places whose lengths add up to about GATHER."""
+    ends, at = np.cumsum(lengths), 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GATHER, "right")))
+        yield at, stop
+        at = stop
+
+
+def _slices(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Slices of raw, one after the other."""
+    out, at = np.empty(int(lengths.sum()), np.uint8), 0
+    for a, b in _portions(lengths):
+        index = ragged(starts[a:b], lengths[a:b])
+        out[at : at + len(index)] = raw[index]
+        at += len(index)
+    return out
+
+
 class Block:
     """A block's documents, and their phrases with triggers among `common` (sorted hashes)."""
 
@@ -158,7 +181,7 @@ class Block:
         self.starts, self.counts, self.keys, self.doc = starts[keep], counts[keep], keys[keep], doc[keep]
         # Entries: distinct phrases of the block, in order of first use.
         sizes = self.counts + self.length - 1
-        data = self.raw[ragged(self.starts, sizes)]
+        data = _slices(self.raw, self.starts, sizes)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
         coded = column.dictionary_encode()
@@ -177,18 +200,20 @@ class Block:
         for a, b in zip(edges, [*edges[1:], len(order)]):
             entries = order[a:b]
             at = self.sample[entries]
-            data = self.raw[ragged(self.starts[at], self.counts[at] + self.length - 1)].tobytes()
+            data = _slices(self.raw, self.starts[at], self.counts[at] + self.length - 1).tobytes()
             yield int(of[entries[0]]), block, entries.astype("<i4").tobytes(), _thin(self.keys[at]), self.counts[at].astype(np.uint8).tobytes(), self.first[entries].astype("<i8").tobytes(), len(data), pa.compress(data, codec="zstd", asbytes=True)
 
     def covered(self, masks: np.ndarray) -> np.ndarray:
         """Which bytes go: masks has for each entry a bit for each string that an earlier block's document has."""
-        begin = ragged(self.starts, self.counts)
-        bit = ragged(np.zeros(len(self.counts), np.int64), self.counts).astype(np.uint64)
-        later = np.repeat(self.doc > self.first[self.entry], self.counts) if len(self.entry) else np.zeros(0, bool)
-        gone = begin[later | ((np.repeat(masks[self.entry], self.counts) >> bit) & np.uint64(1)).astype(bool)] if len(self.entry) else begin
         step = np.zeros(len(self.raw) + 1, np.int32)
-        np.add.at(step, gone, 1)
-        np.add.at(step, gone + self.length, -1)
+        for a, b in _portions(self.counts):
+            counts, entry = self.counts[a:b], self.entry[a:b]
+            begin = ragged(self.starts[a:b], counts)
+            bit = ragged(np.zeros(b - a, np.int64), counts).astype(np.uint64)
+            earlier = np.repeat(self.doc[a:b] > self.first[entry], counts) | ((np.repeat(masks[entry], counts) >> bit) & np.uint64(1)).astype(bool)
+            gone = begin[earlier]
+            step[gone] += 1  # each string begins but once
+            step[gone + self.length] -= 1
         return np.cumsum(step[:-1]) > 0
 
 
