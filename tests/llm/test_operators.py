@@ -151,6 +151,29 @@ def test_repeats_in_periodic_and_long_texts(spark, monkeypatch):
     assert cases.by_id(pfp.remove_repeats(cases.documents(spark, rows), block_bytes=500)) == want
 
 
+def test_repeats_behind_a_trigger_that_all_documents_share(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    common = "".join(rng.choice(letters) for _ in range(40))
+    sides = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(6)]
+    rows = [(i, "".join(rng.choice(letters) for _ in range(60)) + rng.choice(sides) + common + rng.choice(sides) + str(i)) for i in range(120)]
+    want = {d: [x] for d, x in brute_repeats(rows)}
+    assert cases.by_id(pfp.remove_repeats(cases.documents(spark, rows), block_bytes=2000)) == want
+    assert sum(x[0][1] > 0 for x in want.values()) > 100
+
+
+def test_repeats_in_a_text_beyond_eight_million_bytes(spark):
+    rng = np.random.default_rng(5)
+    long = rng.integers(97, 123, (1 << 23) + 5000).astype(np.uint8).tobytes().decode()
+    edge = 1 << 22  # the text is parsed in overlapping parts of this size
+    rows = [(1, long), (2, "A" * 30 + long[edge - 400 : edge + 600] + "B" * 30 + long[-70:]), (0, "C" * 20 + long[2 * edge - 25 : 2 * edge + 25])]
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in pfp.remove_repeats(cases.documents(spark, rows)).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert found[0] == (0, 0, digest(rows[2][1]))
+    assert found[1] == (50, 1, digest(long[: 2 * edge - 25] + long[2 * edge + 25 :]))
+    assert found[2] == (1070, 2, digest("A" * 30 + "B" * 30))
+
+
 def test_phrases_cover_each_string_once():
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 100, 3000).astype(np.uint8)

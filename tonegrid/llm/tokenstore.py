@@ -14,7 +14,8 @@ its chunks (crc32 is linear, so a chunk's part is its crc32 shifted by the bytes
 verify_store(): recomputes roots and compares them with the manifest. restore(): ids of documents.
 
 Null text: empty, so only the end id. Repeated rows: stored each, chunks shared; among equal doc_ids the smaller root comes
-first. A null doc_id comes first. Empty table: empty files. Other columns are ignored."""
+first. A null doc_id comes first. Very long texts: encoded whole in one task, cut into chunks like any other. Empty table: empty files. Other
+columns are ignored."""
 
 from __future__ import annotations
 
