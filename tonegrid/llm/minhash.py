@@ -6,15 +6,20 @@
    under one of the first COORDINATES - THRESHOLD + 1. Postings travel packed, a row for each batch and value range, and are
    merged by value; values posted once are skipped.
 3. In each posting list collisions over all coordinates are counted, and the pairs that pass the match threshold are walked from pivots, so
-   that a list of n gives a spanning forest of less than n links, not all its pairs. Spanning links are confirmed on full sets.
+   that a list of n gives a spanning forest of less than n links, not all its pairs. Where pivots take little, the list is posted again: its
+   members agree in one coordinate, so those that pass meet under one of COORDINATES - THRESHOLD + 1 others, whichever these are, and the
+   ones with the fewest agreements are taken. Spanning links are confirmed on full sets.
 4. Crowds (what spanning links connect, confirmed or not) hold every pair that passes. Where confirmed links leave a crowd in
    several parts, members outside its largest part meet all others in blocks of bounded size, with their full sets: a block pair is one
    matrix product, and it gives links between parts only. So no link is lost, and rows grow with members, not with pairs.
 5. Components: the smallest doc_id spreads over confirmed links with pointer jumping, in tables of the shared folder.
 
 The match threshold lies so far below the similarity that a pair at exactly 0.8 passes with a chance above 0.999999 (binomial);
-confirmation is exact, on the sets of 64-bit shingle hashes. The walk over a list of n
-classes that have nothing else in common compares n * n / 2 signatures in one task; copies and near copies don't, as a pivot takes them all.
+confirmation is exact, on the sets of 64-bit shingle hashes. The counting side of a posting carries 16 bits of each coordinate, which never makes
+agreements fewer.
+
+Hot classes: links whose class holds a 500th of all links or more are dealt by both ends, and that class' set goes to as many tasks as its
+links fill by SPREAD; there are at most 1000 such classes.
 
 Null and empty texts, and texts without words: empty set, linked with nothing, a component each. Texts shorter than a
 shingle: the whole sequence is one shingle. Repeated rows: equal sets, so linked; the same doc_id twice gives two rows with equal
@@ -89,25 +94,54 @@ def _passing(counts, size, sizes, similarity: float):
     return (counts >= THRESHOLD) & (np.minimum(size, sizes) >= similarity * np.maximum(size, sizes) - 1e-9)
 
 
-def spanning_links(signs: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[list, list]:
-    """A forest over a list's rows that connects every pair that passes: each pivot takes what passes with it from the rest,
-    and what it took are the next pivots. The first is the row most like the list's commonest values, so lists of one crowd begin alike."""
+#: Of lists that are posted again, those up to this size are compared pair by pair, all at once.
+FEW = 12
+
+
+def _few(order: np.ndarray, edges: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the lists of at most so many rows: rows at a distance of 1, 2, ... in the same list."""
+    place = np.arange(len(order))
+    end = np.repeat(edges + np.where(lengths <= most, lengths, 0), lengths)
+    at = [place[place + d < end] for d in range(1, most)]
+    return order[np.concatenate(at)], order[np.concatenate([x + d for d, x in enumerate(at, 1)])]
+
+
+#: Pivots that a list is walked from before it may be posted again, and what that costs a row, in comparisons.
+PIVOTS, POSTING = 48, 500
+
+
+def _agreeing(signs: np.ndarray, pivot: np.ndarray, agreed: int) -> np.ndarray:
+    # Agreements as bytes of 0 and 1, added up eight at a time.
+    same = signs == pivot
+    if same.shape[1] % 8:
+        return np.count_nonzero(same, axis=1) + agreed
+    return (same.view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64) + agreed
+
+
+def spanning_links(signs: np.ndarray, sizes: np.ndarray, similarity: float, agreed: int = 0) -> tuple[list, list]:
+    """A forest over a list's rows that connects every pair that passes. Each pivot takes what passes with it from the rest, and what it took
+    are the next pivots; the first is the row most like the list's commonest values, so lists of one crowd end soon. After PIVOTS of them what
+    isn't walked yet is posted again, if that halves the comparisons. agreed: coordinates that all rows agree in, and that signs doesn't have any more."""
     left, right, rest = [], [], np.arange(len(signs))
     if len(signs) > 8:
-        ordered = np.sort(signs, 0)
-        commonest = ordered[len(signs) // 2]  # a value that most rows have is the middle one, too
+        commonest = np.sort(signs, 0)[len(signs) // 2]  # a value that most rows have is the middle one, too
         first = int(np.argmax((signs == commonest).sum(1)))
         rest = np.concatenate([[first], rest[rest != first]])
     queue: list[int] = []
-    others = np.ascontiguousarray(signs[rest])
+    others, walked = np.ascontiguousarray(signs[rest]), 0
     while len(rest):
+        if walked == PIVOTS and len(rest) > 4 * POSTING and agreed < THRESHOLD - 1:
+            open_ = np.concatenate([np.array(queue, np.int64), rest])
+            columns, cost = _best_columns(signs[open_], agreed)
+            if 2 * (cost + POSTING * len(open_)) < len(open_) * len(rest) / 2:
+                x, y = _posted_again(signs[open_], sizes[open_], similarity, agreed, columns)
+                return left + open_[x].tolist(), right + open_[y].tolist()
+        walked += 1
         if queue:
             pivot = queue.pop()
         else:
             pivot, rest, others = int(rest[0]), rest[1:], others[1:]
-        # Agreements as bytes of 0 and 1, added up eight at a time.
-        agree = (others == signs[pivot]).view(np.uint64).sum(1) * np.uint64(0x0101010101010101) >> np.uint64(56)
-        fit = _passing(agree, sizes[pivot], sizes[rest], similarity)
+        fit = _passing(_agreeing(others, signs[pivot], agreed), sizes[pivot], sizes[rest], similarity)
         if fit.any():
             found = rest[fit].tolist()
             left += [pivot] * len(found)
@@ -117,6 +151,51 @@ def spanning_links(signs: np.ndarray, sizes: np.ndarray, similarity: float) -> t
     return left, right
 
 
+def _best_columns(signs: np.ndarray, agreed: int) -> tuple[np.ndarray, float]:
+    """The coordinates under which all rows that pass meet and that tell rows apart best, and the comparisons in their lists."""
+    width, pairs = signs.shape[1], []
+    for c in range(width):
+        ordered = np.sort(signs[:, c])
+        lengths = np.diff(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])))
+        pairs.append(float((lengths.astype(float) ** 2).sum()) / 2)
+    columns = np.argsort(pairs, kind="stable")[: width - (THRESHOLD - agreed) + 1]
+    return columns, sum(pairs[c] for c in columns)
+
+
+def _posted_again(signs: np.ndarray, sizes: np.ndarray, similarity: float, agreed: int, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As spanning_links(), by the lists under these coordinates."""
+    width = signs.shape[1]
+    root = np.arange(len(signs))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = int(root[x])
+        return x
+
+    left, right = [], []
+    for c in columns:
+        order = np.argsort(signs[:, c], kind="stable")
+        values = signs[order, c]
+        edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        lengths = np.diff(np.append(edges, len(order)))
+        others = np.delete(np.arange(width), c)
+        i, j = _few(order, edges, lengths, FEW)
+        fit = _passing(np.count_nonzero(signs[i] == signs[j], axis=1) + agreed, sizes[i], sizes[j], similarity)
+        found = list(zip(i[fit].tolist(), j[fit].tolist()))
+        for e, n in zip(edges[lengths > FEW], lengths[lengths > FEW]):
+            own = order[e : e + n]
+            x, y = spanning_links(signs[np.ix_(own, others)], sizes[own], similarity, agreed + 1)
+            found += zip(own[x].tolist(), own[y].tolist())
+        for a, b in found:  # only what connects more than there is
+            x, y = top(a), top(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                left.append(a)
+                right.append(b)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
 def candidates(signed: DataFrame, n: int, similarity: float) -> DataFrame:
     """Links (a < b, class numbers) that connect all pairs that pass the match threshold. signed: number, n_shingles, signature."""
     ranges = max(1, -(-n // RANGE_ROWS))
@@ -127,7 +206,7 @@ def candidates(signed: DataFrame, n: int, similarity: float) -> DataFrame:
             if not len(batch):
                 continue
             signs = np.frombuffer(b"".join(batch["signature"].to_pylist()), "<u4").reshape(-1, COORDINATES)
-            small = signs.astype(np.uint8)  # the counting side travels as one byte a coordinate: never fewer agreements
+            small = signs.astype(np.uint16)
             number, sizes = batch["number"].to_numpy(), batch["n_shingles"].to_numpy()
             keys, rows = [], []
             for c in range(PREFIX):
@@ -141,16 +220,15 @@ def candidates(signed: DataFrame, n: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows))], names=["key", "at", "number", "size", "signs"])
 
     def merged(rows: pa.Table) -> pa.Table:
-        at, number, sizes, signs = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("at", "<u4"), ("number", "<i8"), ("size", "<i4"), ("signs", np.uint8)))
+        at, number, sizes, signs = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("at", "<u4"), ("number", "<i8"), ("size", "<i4"), ("signs", "<u2")))
         signs = signs.reshape(-1, COORDINATES)
         order = np.lexsort((number, at))
         ordered = at[order]
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         lengths = np.diff(np.append(edges, len(order)))
         # Lists of two, most by far, all at once; then list by list.
-        pairs = edges[lengths == 2]
-        i, j = order[pairs], order[pairs + 1]
-        fit = _passing((signs[i] == signs[j]).sum(1), sizes[i], sizes[j], similarity)
+        i, j = _few(order, edges, lengths, 2)
+        fit = np.concatenate([_passing(_agreeing(signs[i[a : a + 65536]], signs[j[a : a + 65536]], 0), sizes[i[a : a + 65536]], sizes[j[a : a + 65536]], similarity) for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
         left, right = [i[fit]], [j[fit]]
         for e, n_ in zip(edges[lengths > 2], lengths[lengths > 2]):
             own = order[e : e + n_]
@@ -162,15 +240,16 @@ def candidates(signed: DataFrame, n: int, similarity: float) -> DataFrame:
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     lists = signed.select("number", "n_shingles", "signature").mapInArrow(posted, "key long, at binary, number binary, size binary, signs binary")
-    return lists.groupBy("key").applyInArrow(merged, "a long, b long").distinct()
+    tasks = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), PREFIX * ranges)
+    return lists.repartition(tasks, "key").groupBy("key").applyInArrow(merged, "a long, b long").distinct()
 
 
 #: Bits of the filter of wanted ids, at most: with more ids than these tell apart it lets others through, which the join then drops.
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 26
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids, of bounded size: 32 bits an id, 1 MB at most."""
+    """A bitmap of hashed ids, of bounded size: 32 bits an id, 8 MB at most."""
     size = min(FILTER_BITS, 1 << max(16, (32 * ids.count()).bit_length()))
 
     def run(batches):
@@ -317,11 +396,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
                 keep.append(100 * both >= top * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
-    both = first.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a")
+    n = pairs.count()
+    both = _with_set(_with_set(pairs, sets, "b", "y", n), sets, "a", "x", n)
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+#: Links with a hot class that one task should hold.
+SPREAD = 256
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, name: str, n: int) -> DataFrame:
+    """pairs with the set of the class at this end. A hot class' set is repeated, and its links are dealt over the copies."""
+    hot = pairs.groupBy(end).agg(F.count("*").alias("links")).where(F.col("links") >= max(SPREAD, n / 500))
+    hot = hot.select(F.col(end).alias("hot"), F.ceil(F.col("links") / SPREAD).cast("int").alias("copies"))
+    dealt = pairs.join(F.broadcast(hot), F.col(end) == F.col("hot"), "left")
+    dealt = dealt.withColumn("copy", F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("a", "b"), F.col("copies"))).otherwise(0).cast("int")).drop("hot", "copies")
+    many = sets.join(F.broadcast(hot), F.col("doc_id") == F.col("hot"), "left")
+    many = many.select(F.col("doc_id").alias(end), F.col("own").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    return dealt.join(many, [end, "copy"]).drop("copy")
+
+
 def components(links: DataFrame) -> DataFrame:
     """number and grp (the smallest number reachable) of every number that stands in links (a, b)."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
