@@ -95,7 +95,7 @@ def test_the_whole_pipeline_against_plain_versions(spark, tmp_path):
     rows += [(1200 + i, f"{prose(8)}\n{passage}\n{prose(9)}") for i in range(5)] + [(1300, f"{prose(20)} password: hunter2222 {prose(9)}"), (1301, "")]
     table = [(d, t, "en", "s", len(t)) for d, t in rows]
     spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    known = [(d, 1, int("nasty" in t)) for d, t in rows if d % 3]
+    known = [(d, 1, int("nasty" in t)) for d, t in rows if d % 5]
     spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
 
     left = [(d, t) for d, t in rows if "nasty" not in t]
@@ -107,7 +107,7 @@ def test_the_whole_pipeline_against_plain_versions(spark, tmp_path):
         for kind, a, b in reversed(base_spans(t)):
             t = t[: secrets.ASSIGN.match(t, a).start(2) if kind == "assign" else a] + "[secret]" + t[b:]
         cleaned.append((d, t))
-    assert any("[secret]" in t for _, t in cleaned) and len(cleaned) < len(rows) - 100
+    assert any("[secret]" in t for _, t in cleaned) and len(cleaned) < len(rows) - 60
     tokenizer = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
     want = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t in cleaned}
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
