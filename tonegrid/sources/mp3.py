@@ -24,9 +24,12 @@ def header(data: bytes, at: int) -> dict | None:
     rate, kbps = RATES[version][rate_index], BITRATES[1 if version == 3 else 2][bit_index]
     samples = 1152 if version == 3 else 576
     size = samples // 8 * kbps * 1000 // rate + (data[at + 2] >> 1 & 1)
-    mode = data[at + 3] >> 6
-    extension = data[at + 3] >> 4 & 3 if mode == 1 else 0  # 1: intensity, 2: middle and side
-    return {"version": version, "rate": rate, "kbps": kbps, "samples": samples, "size": size, "mode": mode, "channels": 1 if mode == 3 else 2, "extension": extension, "checked": not data[at + 1] & 1}
+    return {"version": version, "rate": rate, "kbps": kbps, "samples": samples, "size": size, "mode": data[at + 3] >> 6, "channels": 1 if data[at + 3] >> 6 == 3 else 2}
+
+
+def coding(data: bytes, at: int) -> tuple[int, bool]:
+    """Of a frame: how joint stereo is coded (1: intensity, 2: middle and side; 0 in any other mode), and whether a check follows the header."""
+    return (data[at + 3] >> 4 & 3 if data[at + 3] >> 6 == 1 else 0), not data[at + 1] & 1
 
 
 def span(data: bytes) -> tuple[int, int]:
@@ -134,7 +137,8 @@ def read_mp3(data: bytes, tables: layer3.Tables | None = None) -> tuple[int, int
     side = (17 if channels == 1 else 32) if first else (9 if channels == 1 else 17)
     streams = [layer3.Stream(channels)]
     for number, (at, h) in enumerate(walked):
-        start, now = at + 4 + 2 * h["checked"], streams[-1]
+        extension, checked = coding(data, at)
+        start, now = at + 4 + 2 * checked, streams[-1]
         payload = data[start + side : at + h["size"]]
         known = layer3.read_side(layer3.Bits(data[start : start + side]), first, channels)
         if known is None or start + side > at + h["size"] or sum(s["length"] for row in known[1] for s in row) > 8 * (len(payload) + known[0]):
@@ -145,7 +149,7 @@ def read_mp3(data: bytes, tables: layer3.Tables | None = None) -> tuple[int, int
         used = 0
         if len(now.reservoir) >= back and not (trim and not number):
             try:
-                used = now.add(main, granules, h["rate"], first, h["extension"], tables)
+                used = now.add(main, granules, h["rate"], first, extension, tables)
             except layer3.LostFrame:
                 streams.append(layer3.Stream(channels))
                 continue
