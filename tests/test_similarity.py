@@ -46,3 +46,22 @@ def test_similarity_join_shuffles_no_pairs(spark, recordings):
     assert "Exchange" not in above_pairs(found)
     with pytest.raises(ValueError):
         sim.similarity_join(df, df, "rec", "rec", top=0)
+
+
+@pytest.mark.parametrize("recordings", [3, 1000])
+def test_the_best_of_each_block_hold_the_best_of_all(spark, recordings):
+    rng = np.random.default_rng(2)
+    rows = [(i, p, int(w)) for i in range(60) for p, w in enumerate(rng.integers(0, 4, 3))]  # many ties
+    df = spark.createDataFrame(rows, "rec long, pos long, word long")
+    found = sim.similarity_join(df, df, "rec", "rec", others=True, top=3, recordings=recordings)
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["a_id"], []).append((-round(r["similarity"], 12), r["b_id"]))
+    want: dict = {}
+    for (a, b), s in plain(rows, rows).items():
+        if a != b:
+            want.setdefault(a, []).append((-round(s, 12), b))
+    assert {a: sorted(x)[:3] for a, x in got.items()} == {a: sorted(x)[:3] for a, x in want.items()}
+    assert "Exchange" not in above_pairs(found)
+    if recordings == 1000:
+        assert max(map(len, got.values())) <= 3 * 4  # three for each value from the third best on
