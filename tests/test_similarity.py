@@ -65,3 +65,17 @@ def test_the_best_of_each_block_hold_the_best_of_all(spark, recordings):
     assert "Exchange" not in above_pairs(found)
     if recordings == 1000:
         assert max(map(len, got.values())) <= 3 * 4  # three for each value from the third best on
+
+
+def test_likely_pairs_shuffles_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    for bits, words in ((4, 8), (20, 3)):
+        rows = [(f"r{i:03}", p, int(w)) for i in range(150) for p, w in enumerate(rng.integers(0, 1 << 11, words) << int(rng.integers(0, 2) * 9))]
+        keys: dict = {}
+        for i, _, w in rows:
+            keys.setdefault(w % (1 << bits), set()).add(i)
+        want = sorted({(a, b) for ids in keys.values() for a in ids for b in ids if a < b})
+        for block in (20, 2048):
+            found = sim.likely_pairs(spark.createDataFrame(rows, SCHEMA), "rec", bits, block)
+            assert sorted((r["a_id"], r["b_id"]) for r in found.collect()) == want
+            assert "Exchange" not in above_pairs(found)
