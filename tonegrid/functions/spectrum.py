@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,20 +88,21 @@ def power_spectra(frames: np.ndarray, window: np.ndarray) -> np.ndarray:
 
 
 def power_udf(window: str = "hann"):
-    """A vectorised function: array of samples (a power of two long) to its power spectrum."""
+    """A vectorised function: array of samples (a power of two long) to its power spectrum. Null samples add nothing; of nothing
+    else, the spectrum is null. Samples that aren't numbers stay so: Arrow's own arrays tell them from nulls, pandas doesn't."""
 
-    @F.pandas_udf("array<double>")
-    def power(samples: pd.Series) -> pd.Series:
-        out = []
+    @F.arrow_udf("array<double>")
+    def power(samples: pa.Array) -> pa.Array:
+        out, absent, ends = [], [], [0]
         for x in samples:
-            if x is None:
-                out.append(None)
-                continue
-            n = len(x)
-            if n < 1 or n & (n - 1):
+            x, n = x.values, len(x.values) if x.is_valid else 0
+            if x is not None and (n < 1 or n & (n - 1)):
                 raise ValueError(f"{n} samples: a power of two is needed")
-            out.append(power_spectra(np.asarray(x)[None], hann(n) if window == "hann" else hamming(n))[0])
-        return pd.Series(out)
+            absent.append(x is None or x.null_count == n)
+            if not absent[-1]:
+                out.append(power_spectra(x.fill_null(0).to_numpy(zero_copy_only=False)[None], hann(n) if window == "hann" else hamming(n))[0])
+            ends.append(ends[-1] if absent[-1] else ends[-1] + n // 2)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out or [np.zeros(0)])), mask=pa.array(absent, pa.bool_()))
 
     return power
 
@@ -279,7 +281,7 @@ def band_energy_table(frames: DataFrame, id_column: str = "recording_id") -> Dat
 def band_word_table(energies: DataFrame, id_column: str = "recording_id") -> DataFrame:
     """id, pos, word: double differences over band and frame, as bits. Works frame by frame: windows hold one recording's frames."""
     rows = energies.groupBy(id_column, "frame").agg(F.sort_array(F.collect_list(F.struct("band", "energy"))).alias("x")).withColumn("e", F.col("x.energy"))
-    rows = rows.withColumn("before", F.lag("e").over(Window.partitionBy(id_column).orderBy("frame"))).where("before is not null")
+    rows = rows.withColumn("before", F.lag("e").over(Window.partitionBy(id_column).orderBy("frame"))).where("e[0] is not null and before[0] is not null")
     fall = lambda e, i: F.element_at(e, i + 1) - F.element_at(e, i + 2)
     powers = F.array(*[F.lit(1 << i).cast("long") for i in range(BANDS - 1)])
     bits = F.transform(powers, lambda p, i: F.when(fall(F.col("e"), i) - fall(F.col("before"), i) > 0, p).otherwise(F.lit(0).cast("long")))
