@@ -46,3 +46,7 @@ SHARED = f"SELECT * FROM {EMB} UNION ALL SELECT * FROM {EMB} WHERE vec_id % 3 =
 def test_vectors_that_share_an_id(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(signals, "RANGE_ROWS", 200)
     equal(spark, *written(tmp_path, SHARED), name)
+
+
+def test_null_samples_of_blocks_are_silent(spark, tmp_path):
+    equal(spark, *written(tmp_path, f"SELECT * REPLACE (CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x, i: CASE WHEN i % 5 = 0 THEN NULL ELSE x END) ELSE embedding END AS embedding) FROM {EMB}"), "stream_fp_words")

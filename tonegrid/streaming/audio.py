@@ -55,8 +55,10 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def fingerprint_stream(blocks: DataFrame) -> DataFrame:
     """recording_id, pos, word, each as soon as its frame is complete. State per recording: less than a frame of samples, one row of
-    energies, and blocks that came too early. Equal to the batch fingerprint whatever the block sizes; repeated blocks count once."""
-    return blocks.select("recording_id", "block_no", "samples").groupBy("recording_id").applyInPandasWithState(_update, "recording_id long, pos long, word long", STATE, "append", "NoTimeout")
+    energies, and blocks that came too early. Equal to the batch fingerprint whatever the block sizes; repeated blocks count once.
+    Null samples count as 0."""
+    samples = F.transform("samples", lambda x: F.coalesce(x, F.lit(0.0).cast("float"))).alias("samples")
+    return blocks.select("recording_id", "block_no", samples).groupBy("recording_id").applyInPandasWithState(_update, "recording_id long, pos long, word long", STATE, "append", "NoTimeout")
 
 
 def wave_blocks(blocks: DataFrame, path: str, checkpoint: str):
