@@ -26,7 +26,7 @@ def equal(spark, con, folder, name):
     assert want and got == want
 
 
-@pytest.mark.parametrize("name", ["fp_words_events", "smooth5"])
+@pytest.mark.parametrize("name", ["fp_words_events", "smooth5", "band_energy"])
 @pytest.mark.parametrize("odd", ["null", "'nan'::DOUBLE"])
 def test_samples_that_are_no_numbers(spark, tmp_path, name, odd):
     at = "% 7 = 0" if odd == "null" else "= 250"
@@ -42,7 +42,7 @@ def test_frames_of_nulls_alone_give_no_words(spark, tmp_path):
 SHARED = f"SELECT * FROM {EMB} UNION ALL SELECT * FROM {EMB} WHERE vec_id % 3 = 0 UNION ALL SELECT * REPLACE (embedding[:20] AS embedding) FROM {EMB} WHERE vec_id < 90 UNION ALL SELECT NULL, embedding, label FROM {EMB}, range(20) WHERE vec_id = 7"
 
 
-@pytest.mark.parametrize("name", ["frames", "smooth5"])
+@pytest.mark.parametrize("name", ["frames", "smooth5", "band_energy"])
 def test_vectors_that_share_an_id(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(signals, "RANGE_ROWS", 200)
     equal(spark, *written(tmp_path, SHARED), name)
