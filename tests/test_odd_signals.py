@@ -42,7 +42,7 @@ def test_frames_of_nulls_alone_give_no_words(spark, tmp_path):
 SHARED = f"SELECT * FROM {EMB} UNION ALL SELECT * FROM {EMB} WHERE vec_id % 3 = 0 UNION ALL SELECT * REPLACE (embedding[:20] AS embedding) FROM {EMB} WHERE vec_id < 90 UNION ALL SELECT NULL, embedding, label FROM {EMB}, range(20) WHERE vec_id = 7"
 
 
-@pytest.mark.parametrize("name", ["frames", "smooth5", "band_energy", "fp_words", "l2_normalise"])
+@pytest.mark.parametrize("name", ["frames", "smooth5", "band_energy", "fp_words", "l2_normalise", "fingerprint"])
 def test_vectors_that_share_an_id(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(signals, "RANGE_ROWS", 200)
     equal(spark, *written(tmp_path, SHARED), name)
